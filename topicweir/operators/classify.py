@@ -10,6 +10,7 @@ from topicweir.functions.fixed_values import SLIDES_KEYWORD_ONLY, UNKNOWN
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import arg_max
 from topicweir.operators.extraction import deck_text
+from topicweir.runtime import settle
 from topicweir.sources.dictionary import KeywordDictionary
 
 DEFAULTS = ClassifySettings()
@@ -47,12 +48,13 @@ def keyword_classify(
     out = out.withColumn("_counts", keyword_counts(F.col("_low"), lowered)).drop("_low")
     out = out.withColumn("_best", _best(F.col("_counts"), F.col("_chars"), lowered, cfg))
     hit = (F.col("_best.score") > 0) & (F.col("_chars") > 0)
-    return out.withColumns(
+    out = out.withColumns(
         {
             subject: F.when(hit, F.col("_best.subject")).otherwise(F.lit(UNKNOWN)),
             confidence: F.when(hit, F.col("_best.score") * cfg.confidence_rate).otherwise(F.lit(0.0)),
         }
-    ).drop("_counts", "_chars", "_best")
+    )
+    return settle(out.drop("_counts", "_chars", "_best"), subject, confidence)
 
 
 def model_classify(
@@ -77,15 +79,17 @@ def model_classify(
     if not df.schema[probability].dataType.simpleString().startswith("array"):
         probs = vector_to_array(probs)
     out = df.withColumn("_probs", probs)
-    return out.withColumns(
+    out = out.withColumns(
         {
             subject: F.coalesce(F.get(names, arg_max(F.col("_probs")) - 1), F.lit(UNKNOWN)),
             confidence: F.coalesce(F.array_max("_probs"), F.lit(0.0)),
         }
-    ).drop("_probs")
+    )
+    return settle(out.drop("_probs"), subject, confidence)
 
 
 def combine(
+    sure: Column,
     keyword_subject: Column,
     keyword_confidence: Column,
     model_subject: Column,
@@ -93,7 +97,6 @@ def combine(
     cfg: ClassifySettings = DEFAULTS,
 ) -> dict[str, Column]:
     """A sure keyword result stands; otherwise the more confident side, the model on a tie."""
-    sure = keyword_confidence > cfg.keyword_sure
     use_model = model_confidence >= keyword_confidence
     return {
         "subject": F.when(sure, keyword_subject)
@@ -114,23 +117,29 @@ def cascade_classify(
 ) -> DataFrame:
     """Keywords first, the model only for rows the keywords leave undecided.
 
-    `model` is a function that adds `model_subject` and `model_confidence` to a frame of
-    undecided rows. Empty texts stay unknown.
+    `model` is a function that adds `model_subject` and `model_confidence` to a frame. It gets
+    every row, but an empty text where the keywords already decided: the rows are read once,
+    and an empty text costs the model next to nothing. Empty texts stay unknown.
     """
     scored = keyword_classify(df, dictionary, text, cfg=cfg)
     if model is None:
         return scored
-    decided = (F.col("confidence") > cfg.keyword_sure) | (F.coalesce(F.col(text), F.lit("")) == "")
-    rest = model(scored.filter(~decided))
-    final = combine(
-        F.col("subject"), F.col("confidence"), F.col("model_subject"), F.col("model_confidence"), cfg
+    body = F.coalesce(F.col(text), F.lit(""))
+    sure = (F.col("confidence") > cfg.keyword_sure) | (body == "")
+    masked = scored.withColumns(
+        {"_text": F.col(text), "_sure": sure, text: F.when(sure, F.lit("")).otherwise(F.col(text))}
     )
-    rest = rest.select(
-        *[c for c in df.columns],
-        final["subject"].alias("subject"),
-        final["confidence"].alias("confidence"),
+    final = combine(
+        F.col("_sure"),
+        F.col("subject"),
+        F.col("confidence"),
+        F.col("model_subject"),
+        F.col("model_confidence"),
+        cfg,
     )
-    return scored.filter(decided).unionByName(rest)
+    columns = [F.col("_text").alias(text) if c == text else F.col(c) for c in df.columns]
+    out = model(masked).select(*columns, *[column.alias(name) for name, column in final.items()])
+    return settle(out, "subject", "confidence")
 
 
 def keyword_only(

@@ -69,3 +69,15 @@ def subject_map(key: str, order: str, value: str, keep: Column | None = None) ->
     return F.map_from_entries(
         F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e[key], e[value]))
     )
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once; later filters and joins act on their values.
+
+    A filter on a computed column is otherwise moved below the projection, with the whole
+    expression copied into it, once per use and without sharing. Columns that come out of a
+    generator are values, so such a filter stays above; filters on other columns still reach
+    the scan.
+    """
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*[F.col(n) for n in names]))))

@@ -1,7 +1,7 @@
 """Deck files: listing, labelling by folder, slide markup and pictures.
 
 A `.pptx`/`.pptm` deck is a zip of XML parts; Spark has no reader for it, so the archive of
-each deck is opened inside a task with `mapInPandas`. Everything after that (text runs,
+each deck is opened inside a task with `mapInArrow`. Everything after that (text runs,
 slide order, caps, joins) is done with DataFrame operations.
 """
 
@@ -9,9 +9,9 @@ import io
 import re
 import time
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from topicweir.functions.fixed_values import BATCH_SUFFIXES, DECK_SUFFIXES, IMAGES_PER_DECK, SLIDES_DEFAULT
@@ -35,6 +35,26 @@ IMAGE_MAGIC = [
 
 SLIDE_SCHEMA = "path string, slide_idx int, xml string, error string, seconds double"
 IMAGE_SCHEMA = "path string, slide_idx int, img_no int, name string, ext string, content binary"
+SLIDE_ARROW = pa.schema(
+    [
+        ("path", pa.string()),
+        ("slide_idx", pa.int32()),
+        ("xml", pa.string()),
+        ("error", pa.string()),
+        ("seconds", pa.float64()),
+    ]
+)
+IMAGE_ARROW = pa.schema(
+    [
+        ("path", pa.string()),
+        ("slide_idx", pa.int32()),
+        ("img_no", pa.int32()),
+        ("name", pa.string()),
+        ("ext", pa.string()),
+        ("content", pa.binary()),
+    ]
+)
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def is_deck(path: Column, suffixes: Sequence[str] = tuple(BATCH_SUFFIXES)) -> Column:
@@ -96,7 +116,7 @@ def _slide_parts(archive: zipfile.ZipFile) -> list[tuple[int, str]]:
     return sorted((int(m.group(1)), m.group(0)) for m in matches if m)
 
 
-def _read_slides(path: str, content: bytes, max_slides: int) -> pd.DataFrame:
+def _read_slides(path: str, content: bytes, max_slides: int) -> list[tuple]:
     """Slide rows of one deck; one row without a slide where there is nothing to read."""
     start = time.perf_counter()
     rows, error = [], None
@@ -112,27 +132,43 @@ def _read_slides(path: str, content: bytes, max_slides: int) -> pd.DataFrame:
                 rows.append((path, number, xml, None))
     except Exception as err:
         rows, error = [], f"{type(err).__name__}: {err}"
-    if not rows:
-        rows.append((path, None, None, error))
-    out = pd.DataFrame(rows, columns=["path", "slide_idx", "xml", "error"])
-    out["slide_idx"] = out["slide_idx"].astype("Int32")
-    out["seconds"] = time.perf_counter() - start
-    return out
+    seconds = time.perf_counter() - start
+    return [(*row, seconds) for row in rows or [(path, None, None, error)]]
+
+
+def _in_batches(
+    decks: Iterator[pa.RecordBatch], read: Callable[[str, bytes], list[tuple]], schema: pa.Schema, size: int
+) -> Iterator[pa.RecordBatch]:
+    """Rows of each deck, handed on whenever the value at `size` adds up to a few megabytes."""
+    rows: list[tuple] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    for batch in decks:
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            found = read(path.as_py(), content.as_py())
+            rows.extend(found)
+            held += sum(len(row[size] or b"") for row in found)
+            if held > BATCH_BYTES:
+                yield flush()
+                rows, held = [], 0
+    yield flush()
 
 
 def extract_slides(decks: DataFrame, max_slides: int = SLIDES_DEFAULT) -> DataFrame:
     """Slide XML in numeric slide order, capped per deck.
 
-    Every deck yields at least one row: an unreadable one has an error and no slide. Decks
-    are handed on one at a time, so memory holds one archive's slides, not a batch of them.
+    Every deck yields at least one row: an unreadable one has an error and no slide. Rows
+    leave the task in batches of a few megabytes, whatever the size of the input batches.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield _read_slides(path, content, max_slides)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(batches, lambda p, c: _read_slides(p, c, max_slides), SLIDE_ARROW, 2)
 
-    return decks.select("path", "content").mapInPandas(read, SLIDE_SCHEMA)
+    return decks.select("path", "content").mapInArrow(read, SLIDE_SCHEMA)
 
 
 def slide_text(slides: DataFrame, tag: str = "a:t", unescape: bool = False) -> DataFrame:
@@ -169,11 +205,11 @@ def _slide_media(archive: zipfile.ZipFile, part: str) -> Iterator[str]:
             yield target.lstrip("/") if target.startswith("/") else "ppt/" + target.removeprefix("../")
 
 
-def _read_images(path: str, content: bytes, max_images: int) -> pd.DataFrame:
+def _read_images(path: str, content: bytes, max_images: int) -> list[tuple]:
     rows: list[tuple] = []
+    if not path.lower().endswith((".pptx", ".pptm")):
+        return rows
     try:
-        if not path.lower().endswith((".pptx", ".pptm")):
-            raise ValueError("unsupported format")
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for position, (_, part) in enumerate(_slide_parts(archive)):
                 if len(rows) >= max_images:
@@ -190,18 +226,14 @@ def _read_images(path: str, content: bytes, max_images: int) -> pd.DataFrame:
                     ext, k = _image_ext(body, member), len(rows)
                     rows.append((path, position, k, f"slide_{position}_img_{k}{ext}", ext, body))
     except Exception:  # an unreadable deck has no pictures
-        rows = []
-    return pd.DataFrame(rows, columns=["path", "slide_idx", "img_no", "name", "ext", "content"])
+        return []
+    return rows
 
 
 def extract_images(decks: DataFrame, max_images: int = IMAGES_PER_DECK) -> DataFrame:
     """Embedded pictures in slide order, at most `max_images` per deck."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                images = _read_images(path, content, max_images)
-                if len(images):
-                    yield images
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(batches, lambda p, c: _read_images(p, c, max_images), IMAGE_ARROW, 5)
 
-    return decks.select("path", "content").mapInPandas(read, IMAGE_SCHEMA)
+    return decks.select("path", "content").mapInArrow(read, IMAGE_SCHEMA)
