@@ -3,6 +3,7 @@
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -26,7 +27,7 @@ from topicweir.functions.fixed_values import HAN_CLASS, SPACE_CLASS, WORD_CLASS
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import align_width
 from topicweir.functions.text import LONG_WORD_TOKEN, process_text, whitespace_words
-from topicweir.runtime import literal_table, per_class_window
+from topicweir.runtime import literal_table, per_class_window, settle
 from topicweir.sources.dictionary import KeywordDictionary
 
 STAT_NAMES = [
@@ -42,10 +43,9 @@ STAT_NAMES = [
     "digit_ratio",
 ]
 
-# Tokens that may be listed inside the plan when n-grams are pruned; more than that and the
-# n-grams are counted unpruned, with the same result.
-MAX_LISTED_TOKENS = 20_000
-BREAK = "\u0000"
+# Terms that may be listed inside the plan when n-grams are pruned; beyond that the n-grams
+# are counted unpruned, with the same result.
+MAX_LISTED_TERMS = 20_000
 
 
 # --- vocabulary ------------------------------------------------------------------------
@@ -89,6 +89,57 @@ def _term_counts(df: DataFrame, grams: str) -> DataFrame:
     return df.select(F.inline(F.concat(uses, docs))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
+def _leading(counts: DataFrame, in_range: Column, max_features: int) -> DataFrame:
+    return counts.filter(in_range).orderBy(F.col("tf").desc(), "term").limit(max_features)
+
+
+def _listed(counts: DataFrame, so_far: DataFrame, in_range: Column, min_df: int, max_features: int) -> list[str] | None:
+    """Terms of `counts` that a longer n-gram in the vocabulary may contain; None if too many.
+
+    The count of the last of the leading terms so far is a lower bound for the whole list.
+    """
+    bound, kept = _leading(so_far, in_range, max_features).agg(F.min("tf"), F.count(F.lit(1))).first()
+    if kept < max_features:
+        bound = 1
+    useful = counts.filter((F.col("tf") >= bound) & (F.col("df") >= min_df)).select("term")
+    rows = useful.limit(MAX_LISTED_TERMS + 1).collect()
+    return [r.term for r in rows] if len(rows) <= MAX_LISTED_TERMS else None
+
+
+def _is_listed(column: str, terms: list[str]) -> Column:
+    """Per element whether it is one of the terms. They hold word characters and spaces only,
+    so they can be quoted as they are; one SQL list is built far quicker than a column each."""
+    quoted = ", ".join(f"'{t}'" for t in terms)
+    return F.expr(f"transform({column}, t -> coalesce(t IN ({quoted}), false))")
+
+
+def _joined(size: int, known: str | None, part: int) -> Column:
+    """Per token position the n-gram starting there, null unless all its `part`-grams are known."""
+
+    def gram(token: Column, at: Column) -> Column:
+        words = F.concat_ws(" ", token, *[F.get("_n1", at + k) for k in range(1, size)])
+        inside = at + (size - 1) < F.size("_n1")
+        if known is not None:
+            inside = reduce(lambda x, y: x & y, [F.get(known, at + k) for k in range(size - part + 1)])
+        return F.when(inside, words)
+
+    return F.transform("_n1", gram)
+
+
+def _grams(tokens: DataFrame, sizes: range, singles: list[str] | None, pairs: list[str] | None) -> DataFrame:
+    """N-grams of the given sizes, one array per row; parts that are not listed rule a gram out."""
+    known, part = None, 1
+    if singles is not None:
+        known = "_k1"
+        tokens = tokens.withColumn(known, _is_listed("_n1", singles))
+    if pairs is not None:
+        tokens = tokens.withColumn("_n2", _joined(2, known, part))
+        known, part = "_k2", 2
+        tokens = tokens.withColumn(known, _is_listed("_n2", pairs))
+    every = F.concat(*[_joined(n, known, part) for n in sizes])
+    return tokens.select(F.filter(every, lambda g: g.isNotNull()).alias("_grams"))
+
+
 def fit_vocabulary(
     df: DataFrame,
     text: str = "text",
@@ -99,37 +150,32 @@ def fit_vocabulary(
 ) -> Vocabulary:
     """The `max_features` most frequent word 1..n-grams within the document-count limits.
 
-    Ties go to the smaller term. Single words are counted first. The count of the last single
-    word that would make the list is a lower bound for the whole list, and an n-gram occurs at
-    most as often, and in at most as many documents, as each of its words. N-grams with a word
-    below the bound are therefore left out before counting; the result does not change.
+    Ties go to the smaller term. An n-gram occurs at most as often, and in at most as many
+    documents, as any part of it, so single words are counted first, then the pairs made of
+    words frequent enough to matter, then the longer n-grams made of such pairs. What is left
+    out could not be in the result; the counts of all others are exact. Without this nearly
+    every long n-gram is its own key and the shuffle is several times the text.
     """
-    tokens = df.select(gram_tokens(F.col(text)).alias("_tokens"))
+    tokens = settle(df.select(gram_tokens(F.col(text)).alias("_n1")), "_n1")
     n_docs = df.count()
-    singles = _term_counts(tokens, "_tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    in_range = (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)
+    counts = level = _term_counts(tokens, "_n1").persist(StorageLevel.MEMORY_AND_DISK)
+    held, listed = [level], []
     try:
-        in_range = (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)
-        leading = singles.filter(in_range).orderBy(F.col("tf").desc(), "term").limit(max_features)
-        bound, kept = leading.agg(F.min("tf"), F.count(F.lit(1))).first()
-        if kept < max_features:
-            bound = 1
-        useful = singles.filter((F.col("tf") >= bound) & (F.col("df") >= min_df)).select("term")
-        listed = [r.term for r in useful.limit(MAX_LISTED_TOKENS + 1).collect()]
-        counts = singles
-        if ngram_max > 1:
-            marked = tokens
-            if len(listed) <= MAX_LISTED_TOKENS:
-                marked = tokens.select(
-                    F.transform("_tokens", lambda t: F.when(t.isin(listed), t).otherwise(F.lit(BREAK))).alias("_tokens")
-                )
-            sizes = range(2, ngram_max + 1)
-            for n in sizes:
-                marked = NGram(n=n, inputCol="_tokens", outputCol=f"_n{n}").transform(marked)
-            grams = F.filter(F.concat(*[F.col(f"_n{n}") for n in sizes]), lambda g: ~F.contains(g, F.lit(BREAK)))
-            counts = singles.unionByName(_term_counts(marked.select(grams.alias("_grams")), "_grams"))
-        top = counts.filter(in_range).orderBy(F.col("tf").desc(), "term").limit(max_features).collect()
+        for sizes in (range(2, min(ngram_max, 2) + 1), range(3, ngram_max + 1)):
+            if not sizes:
+                break
+            listed.append(_listed(level, counts, in_range, min_df, max_features))
+            if listed[-1] == []:
+                break
+            grams = _grams(tokens, sizes, *(listed + [None])[:2])
+            level = _term_counts(grams, "_grams").persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(level)
+            counts = counts.unionByName(level)
+        top = _leading(counts, in_range, max_features).collect()
     finally:
-        singles.unpersist()
+        for level in held:
+            level.unpersist()
     rows = sorted(top, key=lambda r: r.term.encode())
     return Vocabulary(
         tuple(r.term for r in rows), tuple(r.tf for r in rows), tuple(r.df for r in rows), n_docs, ngram_max
