@@ -18,7 +18,7 @@ except ImportError:  # plain substring tests give the same counts
     ahocorasick = None
 
 # Measured on 10,000 documents: above this many entries one automaton pass is quicker.
-MAX_CONTAINS_TERMS = 64
+MAX_CONTAINS_TERMS = 32
 
 
 def _owners(dictionary: KeywordDictionary) -> dict[str, list[int]]:

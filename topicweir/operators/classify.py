@@ -10,7 +10,7 @@ from topicweir.functions.fixed_values import SLIDES_KEYWORD_ONLY, UNKNOWN
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import arg_max
 from topicweir.operators.extraction import deck_text
-from topicweir.runtime import settle
+from topicweir.runtime import settle, small_side, write_once
 from topicweir.sources.dictionary import KeywordDictionary
 
 DEFAULTS = ClassifySettings()
@@ -164,13 +164,13 @@ def incremental_classify(
 ) -> DataFrame:
     """Score only rows without a stored result for the same key; return old and new results.
 
-    The stored results are needed as they are for unchanged rows, so the new frame is
-    matched against them on the full key: a changed size or time is a new row.
+    A changed size or time is a new key, so the row is scored again and the old result goes.
+    New keys are found from the key columns alone and written once; the texts are matched
+    against that list, so they are shuffled only when very much is new.
     """
     columns = [*keys, "subject", "confidence"]
-    todo = new.join(results.select(*keys), list(keys), "left_anti")
-    kept = results.join(new.select(*keys), list(keys), "left_semi")
+    fresh_keys = write_once(new.select(*keys).join(results.select(*keys), list(keys), "left_anti"), "new-keys")
+    todo = new.join(small_side(fresh_keys), list(keys), "left_semi")
+    kept = results.select(*columns).join(new.select(*keys), list(keys), "left_semi")
     fresh = cascade_classify(todo, dictionary, model, text).select(*columns)
-    return kept.select(*columns).withColumn("reused", F.lit(True)).unionByName(
-        fresh.withColumn("reused", F.lit(False))
-    )
+    return kept.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))

@@ -301,14 +301,28 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
 def variance_topk(df: DataFrame, k: int, vector: str = "features") -> DataFrame:
     """The `k` vector positions of greatest population variance: (rank, idx, variance).
 
-    One tree aggregate over the rows; only the width-sized summary is exploded and sorted.
+    Every partition sums up its rows into one width-sized summary. The summaries are merged
+    per position, spread over all tasks, and never meet as whole vectors in one of them.
     """
-    summary = df.select(Summarizer.metrics("variance", "count").summary(F.col(vector)).alias("s")).select(
-        vector_to_array("s.variance").alias("_var"), F.col("s.count").alias("_n")
+    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col(vector)).alias("s")
+    parts = df.groupBy(F.spark_partition_id().alias("_part")).agg(summary)
+    parts = parts.select(
+        F.col("s.count").alias("_n"),
+        vector_to_array("s.mean").alias("_mean"),
+        vector_to_array("s.variance").alias("_var"),
     )
-    cells = summary.select("_n", F.posexplode("_var").alias("idx", "_sample"))
-    cells = cells.select("idx", (F.col("_sample") * (F.col("_n") - 1) / F.col("_n")).alias("variance"))
-    top = cells.orderBy(F.col("variance").desc(), "idx").limit(k)
+    cells = parts.select("_n", F.posexplode(F.arrays_zip("_mean", "_var")).alias("idx", "_c"))
+    n, mean = F.col("_n"), F.col("_c._mean")
+    within = F.col("_c._var") * (n - 1)
+    merged = cells.groupBy("idx").agg(
+        F.sum("_n").alias("_n"),
+        F.sum(within).alias("_within"),
+        F.sum(n * mean).alias("_sum"),
+        F.sum(n * mean * mean).alias("_squares"),
+    )
+    between = F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_n")
+    top = merged.select("idx", ((F.col("_within") + between) / F.col("_n")).alias("variance"))
+    top = top.orderBy(F.col("variance").desc(), "idx").limit(k)
     order = per_class_window().orderBy(F.col("variance").desc(), "idx")
     return top.select(F.row_number().over(order).alias("rank"), "idx", "variance")
 

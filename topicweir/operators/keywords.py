@@ -2,13 +2,13 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from topicweir.functions.fixed_values import HAN_CLASS, STOPWORDS, SUBJECT_DESCRIPTIONS
 from topicweir.functions.matching import own_class_count
 from topicweir.functions.text import processed_tokens, whitespace_words, word_tokens
 from topicweir.operators.dataset import subject_table
-from topicweir.runtime import literal_table
+from topicweir.runtime import literal_table, settle
 from topicweir.sources.dictionary import KeywordDictionary
 
 MAX_CLASS_TERMS = 1000
@@ -24,15 +24,34 @@ def doc_keywords(
 ) -> DataFrame:
     """Most frequent processed tokens of each document; a tie goes to the earlier first use.
 
-    The tokens of a document sit in one input partition, so the partial aggregate already
-    brings them down to one row per distinct token before anything is shuffled.
+    A document is one row, so its tokens are sorted, counted by run length and ranked inside
+    that row: nothing is shuffled.
     """
-    tokens = df.select(id_col, F.posexplode(processed_tokens(F.col(text), stop)).alias("_pos", "token"))
-    tokens = tokens.filter((F.length("token") >= 2) & ~F.col("token").isin(list(stop)))
-    counts = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_first"))
-    order = Window.partitionBy(id_col).orderBy(F.col("n").desc(), "_first")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.select(id_col, "rank", "token", "n")
+
+    def starts_run(i: Column) -> Column:
+        before, here = F.get("_sorted", i - 1)["token"], F.get("_sorted", i)["token"]
+        return (i == 0) | (before != here)
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_sorted"))
+        first = F.get("_sorted", start)
+        return F.struct((start - end).alias("neg"), first["at"].alias("at"), first["token"].alias("token"))
+
+    usable = F.filter(
+        processed_tokens(F.col(text), stop), lambda t: (F.length(t) >= 2) & ~t.isin(list(stop))
+    )
+    pairs = F.transform(usable, lambda t, i: F.struct(t.alias("token"), i.alias("at")))
+    rows = settle(df.select(id_col, F.array_sort(pairs).alias("_sorted")), "_sorted")
+    positions = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1))
+    rows = settle(rows.withColumn("_starts", F.filter(positions, starts_run)), "_starts")
+    ranked = F.slice(F.array_sort(F.transform("_starts", run)), 1, n)
+    entries = rows.select(id_col, F.posexplode(ranked).alias("_r", "_e"))
+    return entries.select(
+        id_col,
+        (F.col("_r") + 1).alias("rank"),
+        F.col("_e.token").alias("token"),
+        (-F.col("_e.neg")).cast("long").alias("n"),
+    )
 
 
 def class_keywords(

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topicweir.functions.fixed_values import BATCH_SUFFIXES, FAILED, SLIDES_CLASSIFY
 from topicweir.operators.classify import cascade_classify
-from topicweir.operators.extraction import first_slides, joined_text
-from topicweir.sources.decks import extract_slides, scan_decks, slide_text
+from topicweir.runtime import settle
+from topicweir.sources.decks import deck_texts, scan_decks
 from topicweir.sources.dictionary import KeywordDictionary
 from topicweir.sources.sinks import read_results, write_results
 
@@ -20,20 +20,10 @@ def classify_decks(
 ) -> DataFrame:
     """(path, subject, confidence, seconds) for every deck row (path, content).
 
-    Each deck yields at least one slide row, so one grouping by path gives texts, errors and
-    times for all decks without joining back. An unreadable deck has an empty text and so an
-    unknown subject; with `error_as_failed` it is reported as failed.
+    Narrow from the archive to the result: no deck meets another one. An unreadable deck has
+    an empty text and so an unknown subject; with `error_as_failed` it is reported as failed.
     """
-    slides = slide_text(extract_slides(decks, max_slides), unescape=unescape)
-    texts = (
-        first_slides(slides, max_slides)
-        .groupBy("path")
-        .agg(
-            joined_text("slide_idx", "text").alias("text"),
-            F.max("error").alias("error"),
-            F.max("seconds").alias("seconds"),
-        )
-    )
+    texts = settle(deck_texts(decks, max_slides, unescape=unescape), "text")
     scored = cascade_classify(texts, dictionary, model)
     if error_as_failed:
         failed = F.col("error").isNotNull()

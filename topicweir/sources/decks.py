@@ -33,13 +33,12 @@ IMAGE_MAGIC = [
     (b"\xd7\xcd\xc6\x9a", ".wmf"),
 ]
 
-SLIDE_SCHEMA = "path string, slide_idx int, xml string, error string, seconds double"
+DECK_SCHEMA = "path string, slides array<struct<slide_idx:int,xml:string>>, error string, seconds double"
 IMAGE_SCHEMA = "path string, slide_idx int, img_no int, name string, ext string, content binary"
-SLIDE_ARROW = pa.schema(
+DECK_ARROW = pa.schema(
     [
         ("path", pa.string()),
-        ("slide_idx", pa.int32()),
-        ("xml", pa.string()),
+        ("slides", pa.list_(pa.struct([("slide_idx", pa.int32()), ("xml", pa.string())]))),
         ("error", pa.string()),
         ("seconds", pa.float64()),
     ]
@@ -116,10 +115,9 @@ def _slide_parts(archive: zipfile.ZipFile) -> list[tuple[int, str]]:
     return sorted((int(m.group(1)), m.group(0)) for m in matches if m)
 
 
-def _read_slides(path: str, content: bytes, max_slides: int) -> list[tuple]:
-    """Slide rows of one deck; one row without a slide where there is nothing to read."""
+def _read_slides(path: str, content: bytes, max_slides: int) -> tuple:
     start = time.perf_counter()
-    rows, error = [], None
+    slides, error = [], None
     try:
         if not path.lower().endswith((".pptx", ".pptm")):
             raise ValueError("unsupported format")
@@ -129,17 +127,16 @@ def _read_slides(path: str, content: bytes, max_slides: int) -> list[tuple]:
                     xml = archive.read(name).decode("utf-8", errors="ignore")
                 except Exception:  # a damaged slide does not cost the deck
                     continue
-                rows.append((path, number, xml, None))
+                slides.append({"slide_idx": number, "xml": xml})
     except Exception as err:
-        rows, error = [], f"{type(err).__name__}: {err}"
-    seconds = time.perf_counter() - start
-    return [(*row, seconds) for row in rows or [(path, None, None, error)]]
+        slides, error = [], f"{type(err).__name__}: {err}"
+    return path, slides, error, time.perf_counter() - start
 
 
 def _in_batches(
-    decks: Iterator[pa.RecordBatch], read: Callable[[str, bytes], list[tuple]], schema: pa.Schema, size: int
+    decks: Iterator[pa.RecordBatch], read: Callable[[str, bytes], list[tuple]], schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    """Rows of each deck, handed on whenever the value at `size` adds up to a few megabytes."""
+    """Rows read from each deck, handed on whenever a few megabytes of decks have been read."""
     rows: list[tuple] = []
     held = 0
 
@@ -149,26 +146,31 @@ def _in_batches(
 
     for batch in decks:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            found = read(path.as_py(), content.as_py())
-            rows.extend(found)
-            held += sum(len(row[size] or b"") for row in found)
+            body = content.as_py()
+            rows.extend(read(path.as_py(), body))
+            held += len(body)
             if held > BATCH_BYTES:
                 yield flush()
                 rows, held = [], 0
     yield flush()
 
 
-def extract_slides(decks: DataFrame, max_slides: int = SLIDES_DEFAULT) -> DataFrame:
-    """Slide XML in numeric slide order, capped per deck.
+def read_decks(decks: DataFrame, max_slides: int = SLIDES_DEFAULT) -> DataFrame:
+    """One row per deck: slide XML in numeric slide order, capped; an error where unreadable.
 
-    Every deck yields at least one row: an unreadable one has an error and no slide. Rows
-    leave the task in batches of a few megabytes, whatever the size of the input batches.
+    The slides of a deck stay in its row, so its text can be put together without a shuffle.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_batches(batches, lambda p, c: _read_slides(p, c, max_slides), SLIDE_ARROW, 2)
+        return _in_batches(batches, lambda p, c: [_read_slides(p, c, max_slides)], DECK_ARROW)
 
-    return decks.select("path", "content").mapInArrow(read, SLIDE_SCHEMA)
+    return decks.select("path", "content").mapInArrow(read, DECK_SCHEMA)
+
+
+def extract_slides(decks: DataFrame, max_slides: int = SLIDES_DEFAULT) -> DataFrame:
+    """One row per slide; a deck without readable slides keeps one row without a slide."""
+    rows = read_decks(decks, max_slides).select("path", "error", "seconds", F.explode_outer("slides").alias("s"))
+    return rows.select("path", F.col("s.slide_idx").alias("slide_idx"), F.col("s.xml").alias("xml"), "error", "seconds")
 
 
 def slide_text(slides: DataFrame, tag: str = "a:t", unescape: bool = False) -> DataFrame:
@@ -176,6 +178,13 @@ def slide_text(slides: DataFrame, tag: str = "a:t", unescape: bool = False) -> D
     return slides.withColumn("text", text_runs(F.coalesce("xml", F.lit("")), tag, unescape)).drop("xml")
 
 
+def deck_texts(decks: DataFrame, max_slides: int = SLIDES_DEFAULT, tag: str = "a:t", unescape: bool = False) -> DataFrame:
+    """(path, text, error, seconds) per deck: slide texts in order, empty ones dropped; narrow."""
+    texts = F.transform("slides", lambda s: text_runs(s["xml"], tag, unescape))
+    joined = F.array_join(F.filter(texts, lambda t: t != ""), " ")
+    return read_decks(decks, max_slides).select("path", joined.alias("text"), "error", "seconds")
+
+
 def _image_ext(body: bytes, name: str) -> str:
     for magic, ext in IMAGE_MAGIC:
         if body.startswith(magic):
@@ -234,6 +243,6 @@ def extract_images(decks: DataFrame, max_images: int = IMAGES_PER_DECK) -> DataF
     """Embedded pictures in slide order, at most `max_images` per deck."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _in_batches(batches, lambda p, c: _read_images(p, c, max_images), IMAGE_ARROW, 5)
+        return _in_batches(batches, lambda p, c: _read_images(p, c, max_images), IMAGE_ARROW)
 
     return decks.select("path", "content").mapInArrow(read, IMAGE_SCHEMA)
