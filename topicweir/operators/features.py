@@ -27,7 +27,7 @@ from topicweir.functions.fixed_values import HAN_CLASS, SPACE_CLASS, WORD_CLASS
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import align_width
 from topicweir.functions.text import LONG_WORD_TOKEN, process_text, whitespace_words
-from topicweir.runtime import literal_table, per_class_window, settle
+from topicweir.runtime import literal_array, literal_table, per_class_window, settle, write_once
 from topicweir.sources.dictionary import KeywordDictionary
 
 STAT_NAMES = [
@@ -209,7 +209,7 @@ def tfidf_transform(df: DataFrame, vocabulary: Vocabulary, text: str = "text", o
 
 def vector_entries(df: DataFrame, vector: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Non-zero entries of a vector column as rows (keys, name, value)."""
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = literal_array(list(names))
     cells = df.select(*keys, F.posexplode(vector_to_array(vector)).alias("_i", "value")).filter("value <> 0")
     return cells.select(*keys, F.get(labels, F.col("_i")).alias("term"), "value")
 
@@ -349,7 +349,7 @@ def feature_importance(coefficients: DataFrame, names: Sequence[str]) -> DataFra
 
     Empty where the coefficients do not match the names one to one.
     """
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = literal_array(list(names))
     weights = coefficients.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
     return (
         weights.withColumn("_width", F.count(F.lit(1)).over(per_class_window()))
@@ -416,7 +416,8 @@ def fit_features(
     terms: Sequence[str] = (),
 ) -> FeatureModel:
     """Learn the vocabulary and, where the width exceeds `selected_features`, the kept positions."""
-    words = df if processed else df.withColumn(text, process_text(F.col(text), terms=terms))
+    # several passes read the words, so they are cleaned once and written
+    words = df if processed else write_once(df.select(process_text(F.col(text), terms=terms).alias(text)), "words")
     vocabulary = fit_vocabulary(words, text, cfg.ngram_max, cfg.min_df, cfg.max_df, cfg.max_features)
     model = FeatureModel(vocabulary, dictionary, embedding_width, None, tuple(terms))
     if len(model.names) <= cfg.selected_features:

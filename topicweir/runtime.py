@@ -1,12 +1,11 @@
 """Session helpers: partition spreading, shared scratch folder, small literal tables."""
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MAX_INLINE_ROWS = 100
-
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a plain scan by `keys` only when it yields fewer splits than slots.
@@ -43,13 +42,15 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
-    """A driver-side list as a DataFrame: inside the plan while it is short."""
-    if not rows or len(rows) > MAX_INLINE_ROWS:
-        return spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A driver-side list as a DataFrame inside the plan: one JSON literal, no Python in tasks."""
+    items = json.dumps([dict(zip(names, row)) for row in rows], ensure_ascii=False)
+    schema = ", ".join(f"{n}: {t}" for n, t in zip(names, types))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(items), f"array<struct<{schema}>>")))
+
+
+def literal_array(values: list, kind: str = "string") -> Column:
+    """A driver-side list as one constant array column."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"array<{kind}>")
 
 
 def per_class_window():
