@@ -176,6 +176,8 @@ def fit_vocabulary(
     finally:
         for level in held:
             level.unpersist()
+    if not top:
+        raise ValueError("no terms remain: lower min_df or raise max_df")
     rows = sorted(top, key=lambda r: r.term.encode())
     return Vocabulary(
         tuple(r.term for r in rows), tuple(r.tf for r in rows), tuple(r.df for r in rows), n_docs, ngram_max
