@@ -44,24 +44,23 @@ def pick_by_hash(
     rows = rows.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
     buckets = rows.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
     classes = buckets.groupBy(label).agg(F.sum("n").alias("n"))
-    quotas = quota(classes).select(label, "quota")
-
     upto = F.sum("n").over(Window.partitionBy(label).orderBy("_prefix"))
     cuts = (
         buckets.withColumn("_upto", upto)
-        .join(F.broadcast(quotas), label)
+        .join(F.broadcast(quota(classes).select(label, "quota")), label)
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("n") < F.col("quota")))
         .select(label, F.col("_prefix").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("n")).alias("_room"))
     )
+    # a class no larger than its quota has no cut: all of it is below
+    every = F.when(F.col("quota") > 0, F.lit("g")).otherwise(F.lit(""))
     bounds = (
-        quotas.join(cuts, label, "left")
-        # a class no larger than its quota has no cut: all of it is below
-        .select(
-            label,
-            F.coalesce("_cut", F.when(F.col("quota") > 0, F.lit("g")).otherwise(F.lit(""))).alias("_cut"),
-            F.coalesce("_room", F.lit(0)).alias("_room"),
-        )
+        quota(classes)
+        .join(cuts, label, "left")
+        .select(label, F.coalesce("_cut", every), F.coalesce("_room", F.lit(0)))
+        .collect()
     )
+    # at most one row per configured class
+    bounds = literal_table(df.sparkSession, bounds, [label, "_cut", "_room"], ["string", "string", "long"])
     bounded = rows.join(F.broadcast(bounds), label)
     sure = bounded.filter(F.col("_prefix") != F.col("_cut")).withColumn("picked", F.col("_prefix") < F.col("_cut"))
     order = Window.partitionBy(label).orderBy("_hash", id_col)

@@ -6,7 +6,9 @@ follows works on that table of at most classes^2 rows per model.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from topicweir.runtime import per_class_window
 
 SAMPLE_CHARS = 100
 
@@ -77,14 +79,20 @@ def compare_models(
 
 def confusion_matrix(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Every (true, predicted) cell over the sorted classes seen on either side, zeros included."""
-    pairs = pair_counts(p, label, prediction)
-    classes = pairs.agg(
-        F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction"))).alias("classes")
+    sides = F.array(
+        F.struct("label", F.struct("prediction", "n").alias("cell")),
+        # a class that is only predicted gets a row of zeros
+        F.struct(F.col("prediction").alias("label"), F.lit(None).cast("struct<prediction:string,n:bigint>").alias("cell")),
     )
-    grid = classes.select("classes", F.explode("classes").alias("label")).select(
-        "label", F.explode("classes").alias("prediction")
+    rows = (
+        pair_counts(p, label, prediction)
+        .select(F.inline(sides))
+        .groupBy("label")
+        .agg(F.map_from_entries(F.collect_list("cell")).alias("cells"))
+        .withColumn("classes", F.array_sort(F.collect_set("label").over(per_class_window())))
     )
-    return grid.join(pairs, ["label", "prediction"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cells = rows.select("label", "cells", F.explode("classes").alias("prediction"))
+    return cells.select("label", "prediction", F.coalesce(F.col("cells")[F.col("prediction")], F.lit(0)).alias("n"))
 
 
 def confusion_wide(
@@ -96,20 +104,32 @@ def confusion_wide(
 
 
 def classification_report(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Class rows, then accuracy, macro average and weighted average rows."""
+    """Class rows, then accuracy, macro average and weighted average rows.
+
+    Every class row also enters the three summary rows with its weight, so one grouping of
+    the class table gives them all. Accuracy is the recall weighted by support.
+    """
     table = _class_table(pair_counts(p, label, prediction))
     scores = ["precision", "recall", "f1"]
-    total = F.sum("support").alias("support")
-    rows = table.select(F.col("class").alias("name"), *scores, "support")
-    macro = table.agg(F.lit("macro avg").alias("name"), *[F.avg(s).alias(s) for s in scores], total)
-    weighted = table.agg(
-        F.lit("weighted avg").alias("name"),
-        *[(F.sum(F.col(s) * F.col("support")) / F.sum("support")).alias(s) for s in scores],
-        total,
+    one, support = F.lit(1).cast("long"), F.col("support")
+
+    def entry(kind: int, name: Column, weight: Column, *values: str) -> Column:
+        cells = [F.col(v).alias(s) for v, s in zip(values, scores)]
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), weight.alias("weight"), *cells, support)
+
+    rows = table.select(
+        F.inline(
+            F.array(
+                entry(0, F.col("class"), one, *scores),
+                entry(1, F.lit("accuracy"), support, "recall", "recall", "recall"),
+                entry(2, F.lit("macro avg"), one, *scores),
+                entry(3, F.lit("weighted avg"), support, *scores),
+            )
+        )
     )
-    share = F.sum("tp") / F.sum("support")
-    overall = table.agg(F.lit("accuracy").alias("name"), *[share.alias(s) for s in scores], total)
-    return rows.unionByName(overall).unionByName(macro).unionByName(weighted)
+    mean = [(F.sum(F.col(s) * F.col("weight")) / F.sum("weight")).alias(s) for s in scores]
+    report = rows.groupBy("kind", "name").agg(*mean, F.sum("support").alias("support"))
+    return report.orderBy("kind", "name").select("name", *scores, "support")
 
 
 def analyze_errors(
