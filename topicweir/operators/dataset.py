@@ -187,9 +187,13 @@ def label_codes(subjects: Sequence[str]) -> list[str]:
     return sorted(set(subjects))
 
 
+def label_model(subjects: Sequence[str], label: str = "label", code: str = "code") -> StringIndexerModel:
+    """The encoder as an ML stage, to be saved with other models."""
+    return StringIndexerModel.from_labels(label_codes(subjects), inputCol=label, outputCol=code)
+
+
 def label_encode(df: DataFrame, subjects: Sequence[str], label: str = "label", code: str = "code") -> DataFrame:
-    model = StringIndexerModel.from_labels(label_codes(subjects), inputCol=label, outputCol=code)
-    return model.transform(df).withColumn(code, F.col(code).cast("int"))
+    return label_model(subjects, label, code).transform(df).withColumn(code, F.col(code).cast("int"))
 
 
 def label_decode(df: DataFrame, subjects: Sequence[str], code: str = "code", label: str = "decoded") -> DataFrame:

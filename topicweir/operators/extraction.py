@@ -54,10 +54,13 @@ def extract_corpus(
     """Text for every deck; a deck that failed keeps its row with an empty text.
 
     `saved` holds texts of an earlier run (deck, text); those decks are not assembled again.
+    Slides are cut to the first ones before decks are matched, so a deck with very many slide
+    rows is small by then; ranking, matching and grouping share one partitioning by deck.
     """
+    first = first_slides(slides.select(deck, idx, text), max_slides, deck, idx)
     if saved is not None:
-        slides = slides.join(saved.select(deck), deck, "left_anti")
-    fresh = deck_text(slides, max_slides, deck, idx, text).withColumn("reused", F.lit(False))
+        first = first.join(saved.select(deck), deck, "left_anti")
+    fresh = first.groupBy(deck).agg(joined_text(idx, text).alias("text")).withColumn("reused", F.lit(False))
     if saved is not None:
         fresh = fresh.unionByName(saved.select(deck, F.col("text"), F.lit(True).alias("reused")))
     return (

@@ -71,13 +71,18 @@ def scan_decks(
     recursive: bool = True,
     suffixes: Sequence[str] = tuple(BATCH_SUFFIXES),
     content: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Deck files of a folder; without `content` the file bodies are not read."""
+    """Deck files of a folder; without `content` the file bodies are not read.
+
+    `ordered` sorts by path, which only a listing needs.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     )
     columns = ["path", "modificationTime", "length"] + (["content"] if content else [])
-    return files.filter(is_deck(F.col("path"), suffixes)).select(*columns)
+    found = files.filter(is_deck(F.col("path"), suffixes)).select(*columns)
+    return found.orderBy("path") if ordered else found
 
 
 def folder_label(path: Column) -> Column:
