@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from topicweir.functions import scores, text as tx
+from topicweir.functions.fixed_values import NOT_WORD_OR_SPACE, SPACE, SPACE_CLASS, SPACE_NOT_PLAIN, WORD_CLASS
 
 PUNCT = r"[.,!?;:\-()]{2,}"
 
@@ -28,6 +29,19 @@ def test_clean_literal(column):
     assert column(tx.basic_clean, ["A  #b!! c...d (x)-y"]) == ["a  b  c d (x y"]
 
 
+def test_every_character_is_space_or_not(column):
+    every = "".join(chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000) + "\U0001F600"
+    spaces = "".join(c for c in every if c.isspace())
+    [by_replace] = column(lambda c: F.regexp_replace(c, f"{SPACE}+", ""), [every])
+    [by_class] = column(lambda c: F.regexp_replace(c, f"[^{SPACE_CLASS}]", ""), [every])
+    [no_words] = column(lambda c: F.regexp_replace(c, NOT_WORD_OR_SPACE, ""), [every])
+    [no_words_by_class] = column(lambda c: F.regexp_replace(c, f"[^{WORD_CLASS}{SPACE_CLASS}]", ""), [every])
+    [plain_kept] = column(lambda c: F.regexp_replace(c, SPACE_NOT_PLAIN, ""), [" \t \n"])
+    assert by_class == spaces and plain_kept == "  "
+    assert by_replace == "".join(c for c in every if not c.isspace())
+    assert no_words == no_words_by_class
+
+
 def test_runs(column):
     assert column(tx.latin_words, ["été café ab"]) == [["caf", "ab"]]
     assert column(tx.extract_english, ["été café ab"]) == ["caf ab"]

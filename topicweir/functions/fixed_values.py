@@ -63,5 +63,9 @@ SPACE_CLASS = (
     r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same whitespace for Java patterns: one Unicode property test instead of many ranges.
+SPACE = r"(?U:[\s\x1c-\x1f])"
+SPACE_NOT_PLAIN = r"(?U:[\s\x1c-\x1f&&[^ ]])"
+NOT_WORD_OR_SPACE = r"(?U:[^\p{L}\p{N}_\s\x1c-\x1f])"
 HAN_CLASS = r"\x{4e00}-\x{9fff}"
 PUNCT_CLASS = r".,!?;:\-()"

@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 from topicweir.functions.fixed_values import (
     HAN_CLASS,
     PUNCT_CLASS,
-    SPACE_CLASS,
+    SPACE,
+    SPACE_NOT_PLAIN,
     STOPWORDS,
     STOPWORDS_ENGLISH,
     WORD_CLASS,
@@ -24,18 +25,19 @@ def stopwords(custom: Sequence[str] | None = None) -> list[str]:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def whitespace_words(col: Column) -> Column:
     """Pieces between runs of whitespace, without empty ones."""
-    return F.filter(F.split(col, f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    return F.filter(F.split(col, f"{SPACE}+"), lambda w: w != "")
 
 
 def basic_clean(col: Column) -> Column:
     """Lower-case, one kind of space, keep words and basic punctuation, drop punctuation runs."""
-    out = F.regexp_replace(F.lower(col), f"[{SPACE_CLASS}]+", " ")
-    out = F.regexp_replace(out, f"[^{WORD_CLASS} {HAN_CLASS}{PUNCT_CLASS}]", " ")
+    # single plain spaces stay, so only other whitespace and longer runs are replaced
+    out = F.regexp_replace(F.lower(col), f"{SPACE_NOT_PLAIN}{SPACE}*| {SPACE}+", " ")
+    out = F.regexp_replace(out, f"[^a-z {WORD_CLASS}{HAN_CLASS}{PUNCT_CLASS}]", " ")
     out = F.regexp_replace(out, f"[{PUNCT_CLASS}]{{2,}}", " ")
     return F.trim(out)
 
@@ -92,6 +94,13 @@ def segment_chinese(
     return F.filter(words, lambda w: ~w.isin(list(stop)))
 
 
+def _tokens(clean: Column, keep_english: bool, terms: Sequence[str], stop: Sequence[str]) -> Column:
+    parts = [segment_chinese(clean, terms, stop)]
+    if keep_english:
+        parts.append(process_english(latin_words(clean)))
+    return F.concat(*parts)
+
+
 def process_text(
     col: Column,
     keep_english: bool = True,
@@ -101,17 +110,20 @@ def process_text(
     """Clean, tokenize both scripts, join; the cleaned text when no token survives."""
 
     def body(clean: Column) -> Column:
-        parts = [segment_chinese(clean, terms, stop)]
-        if keep_english:
-            parts.append(process_english(latin_words(clean)))
-        joined = F.array_join(F.concat(*parts), " ")
+        joined = F.array_join(_tokens(clean, keep_english, terms, stop), " ")
         return bind(joined, lambda j: F.when(j == "", clean).otherwise(j))
 
     return bind(basic_clean(F.coalesce(col, F.lit(""))), body)
 
 
 def processed_tokens(col: Column, stop: Sequence[str] = tuple(STOPWORDS)) -> Column:
-    return F.filter(F.split(process_text(col, stop=stop), " "), lambda w: w != "")
+    """The words of `process_text` as an array, without joining and splitting them again."""
+
+    def body(clean: Column) -> Column:
+        words = F.filter(F.split(clean, " "), lambda w: w != "")
+        return bind(_tokens(clean, True, (), stop), lambda t: F.when(F.size(t) > 0, t).otherwise(words))
+
+    return bind(basic_clean(F.coalesce(col, F.lit(""))), body)
 
 
 def word_tokens(col: Column) -> Column:

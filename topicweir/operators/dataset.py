@@ -170,7 +170,7 @@ def dataset_info(
     order = Window.partitionBy(label).orderBy("_name", path)
     named = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= examples)
     listed = named.groupBy(label).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_name"))), lambda e: e["_name"]).alias("examples")
+        F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_name"))), lambda e: e["_name"]).alias("examples")
     )
     table = subject_table(df.sparkSession, subjects, label)
     out = table.join(class_distribution(rows, label), label, "left").join(listed, label, "left")

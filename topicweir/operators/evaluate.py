@@ -89,7 +89,7 @@ def confusion_matrix(p: DataFrame, label: str = "label", prediction: str = "pred
         .select(F.inline(sides))
         .groupBy("label")
         .agg(F.map_from_entries(F.collect_list("cell")).alias("cells"))
-        .withColumn("classes", F.array_sort(F.collect_set("label").over(per_class_window())))
+        .withColumn("classes", F.sort_array(F.collect_set("label").over(per_class_window())))
     )
     cells = rows.select("label", "cells", F.explode("classes").alias("prediction"))
     return cells.select("label", "prediction", F.coalesce(F.col("cells")[F.col("prediction")], F.lit(0)).alias("n"))

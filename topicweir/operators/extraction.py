@@ -18,7 +18,7 @@ def first_slides(slides: DataFrame, max_slides: int, deck: str = "path", idx: st
 def joined_text(idx: str, text: str):
     """Aggregate: non-empty texts in index order, joined with a space."""
     filled = F.when(F.coalesce(F.col(text), F.lit("")) != "", F.struct(F.col(idx), F.col(text)))
-    return F.array_join(F.transform(F.array_sort(F.collect_list(filled)), lambda s: s[text]), " ")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(filled)), lambda s: s[text]), " ")
 
 
 def deck_text(

@@ -23,7 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicweir.config import TrainSettings
-from topicweir.functions.fixed_values import HAN_CLASS, SPACE_CLASS, WORD_CLASS
+from topicweir.functions.fixed_values import HAN_CLASS, NOT_WORD_OR_SPACE
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import align_width
 from topicweir.functions.text import LONG_WORD_TOKEN, process_text, whitespace_words
@@ -233,7 +233,7 @@ def stat_features(df: DataFrame, text: str = "text") -> DataFrame:
             "chinese_chars": chars(f"[{HAN_CLASS}]+"),
             "english_chars": chars("[a-zA-Z]+"),
             "digit_chars": chars(r"\p{Nd}+"),
-            "symbol_chars": chars(f"[^{WORD_CLASS}{SPACE_CLASS}]+"),
+            "symbol_chars": chars(f"{NOT_WORD_OR_SPACE}+"),
         }
     )
     length = F.greatest(F.col("text_length"), F.lit(1))

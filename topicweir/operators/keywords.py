@@ -41,10 +41,10 @@ def doc_keywords(
         processed_tokens(F.col(text), stop), lambda t: (F.length(t) >= 2) & ~t.isin(list(stop))
     )
     pairs = F.transform(usable, lambda t, i: F.struct(t.alias("token"), i.alias("at")))
-    rows = settle(df.select(id_col, F.array_sort(pairs).alias("_sorted")), "_sorted")
+    rows = settle(df.select(id_col, F.sort_array(pairs).alias("_sorted")), "_sorted")
     positions = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1))
     rows = settle(rows.withColumn("_starts", F.filter(positions, starts_run)), "_starts")
-    ranked = F.slice(F.array_sort(F.transform("_starts", run)), 1, n)
+    ranked = F.slice(F.sort_array(F.transform("_starts", run)), 1, n)
     entries = rows.select(id_col, F.posexplode(ranked).alias("_r", "_e"))
     return entries.select(
         id_col,
@@ -152,7 +152,7 @@ def dictionary_stats(dictionary: DataFrame, examples: int = 5) -> DataFrame:
         F.avg(F.length("keyword")).alias("avg_length"),
         F.sum(han.cast("long")).alias("chinese_count"),
         F.sum(latin.cast("long")).alias("english_count"),
-        F.transform(F.array_sort(F.collect_list(first)), lambda e: e["keyword"]).alias("examples"),
+        F.transform(F.sort_array(F.collect_list(first)), lambda e: e["keyword"]).alias("examples"),
     )
 
 
@@ -161,7 +161,7 @@ def ambiguous_keywords(dictionary: DataFrame) -> DataFrame:
     per_subject = dictionary.groupBy("keyword", "subject", "subject_ord").agg(
         F.count(F.lit(1)).cast("int").alias("_times"), F.min("kw_ord").alias("_first")
     )
-    listing = F.array_sort(F.collect_list(F.struct("subject_ord", "_first", "subject", "_times")))
+    listing = F.sort_array(F.collect_list(F.struct("subject_ord", "_first", "subject", "_times")))
     grouped = per_subject.groupBy("keyword").agg(F.sum("_times").alias("n"), listing.alias("_in"))
     subjects = F.flatten(F.transform("_in", lambda e: F.array_repeat(e["subject"], e["_times"])))
     first = F.element_at("_in", 1)

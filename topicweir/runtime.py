@@ -68,7 +68,7 @@ def subject_map(key: str, order: str, value: str, keep: Column | None = None) ->
     entry = F.struct(F.col(order), F.col(key), F.col(value))
     entry = entry if keep is None else F.when(keep, entry)
     return F.map_from_entries(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e[key], e[value]))
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.struct(e[key], e[value]))
     )
 
 

@@ -90,11 +90,11 @@ def save_dictionary(dictionary: DataFrame, path: str) -> None:
     A dictionary is one JSON document by definition, so the subjects meet in one row.
     """
     ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("kw_ord", "keyword"))), lambda e: e["keyword"]
+        F.sort_array(F.collect_list(F.struct("kw_ord", "keyword"))), lambda e: e["keyword"]
     )
     per_subject = dictionary.groupBy("subject", "subject_ord").agg(ordered.alias("keywords"))
     entries = F.transform(
-        F.array_sort(F.collect_list(F.struct("subject_ord", "subject", "keywords"))),
+        F.sort_array(F.collect_list(F.struct("subject_ord", "subject", "keywords"))),
         lambda e: F.struct(e["subject"], e["keywords"]),
     )
     (
