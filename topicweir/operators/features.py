@@ -78,15 +78,15 @@ def gram_tokens(text: Column) -> Column:
 def _term_counts(df: DataFrame, grams: str) -> DataFrame:
     """Corpus count and document count per term in one combined aggregate.
 
-    Each row sends its terms once per use and once per distinct term, so no (document, term)
-    pair is ever shuffled and map-side combining works on the term alone.
+    Each row sends its terms, then its distinct terms; the position tells them apart. So no
+    (document, term) pair is ever shuffled, and map-side combining works on the term alone.
     """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    uses = F.transform(grams, lambda t: F.struct(t.alias("term"), one.alias("tf"), none.alias("df")))
-    docs = F.transform(
-        F.array_distinct(grams), lambda t: F.struct(t.alias("term"), none.alias("tf"), one.alias("df"))
+    rows = settle(df.select(F.col(grams).alias("_g")), "_g")
+    rows = rows.select(F.size("_g").alias("_uses"), F.posexplode(F.concat("_g", F.array_distinct("_g"))).alias("_at", "term"))
+    use = F.col("_at") < F.col("_uses")
+    return rows.groupBy("term").agg(
+        F.sum(use.cast("long")).alias("tf"), F.sum((~use).cast("long")).alias("df")
     )
-    return df.select(F.inline(F.concat(uses, docs))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def _leading(counts: DataFrame, in_range: Column, max_features: int) -> DataFrame:
