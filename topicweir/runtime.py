@@ -91,3 +91,33 @@ def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, removed by `close()` or one by one.
+
+    A written table cuts lineage and survives lost executors. Tables that a returned frame
+    still reads must outlive it, so their owner closes the scratch after the last action.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = fresh_path(spark, name)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self) -> None:
+        self.drop()
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
