@@ -48,3 +48,35 @@ def load_tokenizer(path: str):
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class WordHashes(dict):
+    """64-bit hash of a word (bytes), computed once while it is held; emptied when it grows too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes], keep: int = 400_000):
+        import numpy as np
+
+        if len(self) > keep:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def sequence_hashes(words, size: int):
+    """64-bit hashes of all runs of `size` consecutive word hashes (numpy, unsigned)."""
+    import numpy as np
+
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    mixed = np.full(n, size, dtype=np.uint64)
+    for i in range(size):
+        mixed ^= words[i : i + n]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed
