@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from topicweir.llm import decontaminate, jaccard_join, line_dedup, packing, token_counts
+from topicweir.llm import decontaminate, jaccard_join, line_dedup, packing, token_counts, toxicity
 from topicweir.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +45,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.toxicity_report(toxicity.score(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
