@@ -12,6 +12,8 @@ sequences of a power of two.
 Only the histogram (at most UNITS rows) and the patterns (about as many) are on the driver.
 """
 
+import re
+
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,7 +24,7 @@ from topicweir.runtime import Scratch
 LIMIT = 4096
 UNITS = 256
 FILLER = 16
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 
 _PIECES = (
     "doc_id {kind}, part int, doc_tokens long, start long, length long, ids_crc32 long, "
@@ -30,30 +32,58 @@ _PIECES = (
 )
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters for themselves, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def _word_ids(path: str, end_id: int):
     """text -> little-endian unsigned 32-bit ids, by a cache from chunks between blanks to ids.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks in turn. The cache only saves time; it is emptied when full.
+    chunks in turn. A chunk of Latin letters, with or without one full stop or comma behind it,
+    is one word for the tokenizer, in lower case; such words go straight to its merge model.
+    Caches only save time; they are emptied when full.
     """
     tokenizer = load_tokenizer(path)
-    cache = worker_state(f"chunk-ids:{path}", dict)
+    chunks_seen, words_seen = worker_state(f"chunk-ids:{path}", lambda: ({}, {}))
     end = np.array([end_id], dtype="<u4").tobytes()
+    merge = tokenizer.model.tokenize
+    is_word = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+    letters = _byte_letters()
+
+    def encoded(chunk: str) -> bytes:
+        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    marks = {m: encoded(m) for m in ",."} | {"": b""}
+
+    def chunk_ids(chunk: str) -> bytes:
+        mark = chunk[-1:] if chunk[-1:] in marks else ""
+        word = chunk[: len(chunk) - len(mark)].lower()
+        if not is_word(word):
+            return encoded(chunk)
+        ids = words_seen.get(word)
+        if ids is None:
+            if len(words_seen) > CACHE_ENTRIES:
+                words_seen.clear()
+            written = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
+            ids = words_seen[word] = np.array([t.id for t in merge(written)], dtype="<u4").tobytes()
+        return ids + marks[mark]
 
     def ids_of(text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        found = list(map(cache.get, chunks))
+        found = list(map(chunks_seen.get, chunks))
         if None in found:
-            new = list({c for c, f in zip(chunks, found) if f is None})
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            for c, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-            found = list(map(cache.get, chunks))
-            if None in found:  # entries that went when the cache was emptied
-                for c, e in zip(chunks, tokenizer.encode_batch(chunks, add_special_tokens=False)):
-                    cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-                found = list(map(cache.get, chunks))
+            if len(chunks_seen) > CACHE_ENTRIES:
+                chunks_seen.clear()
+            for i, ids in enumerate(found):
+                if ids is None:
+                    ids = chunks_seen.get(chunks[i])
+                    if ids is None:
+                        ids = chunks_seen[chunks[i]] = chunk_ids(chunks[i])
+                    found[i] = ids
         return b"".join(found) + end
 
     return ids_of
