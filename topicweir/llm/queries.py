@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicweir.llm import decontaminate, jaccard_join, line_dedup, packing, pii, token_counts, topk_search, toxicity
+from topicweir.llm import decontaminate, html_extract, jaccard_join, line_dedup, packing, pii, token_counts, topk_search, toxicity
 from topicweir.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY sco
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
