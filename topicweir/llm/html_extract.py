@@ -74,7 +74,7 @@ class Page:
         stack = [0]
         pieces: list[tuple[str, bool]] = []
         links = 0
-        silent = 0  # depth inside elements whose text is never shown
+        silent: list[str] = []  # open elements whose text is never shown
         at = 0
 
         def flush():
@@ -109,12 +109,14 @@ class Page:
                 if m[3].endswith("/") and tag not in BLOCK:
                     continue
                 if tag in SILENT:
-                    silent += tag not in VOID
+                    if tag not in VOID:
+                        silent.append(tag)
                 elif tag == "br":
                     pieces.append((" ", False))
                     self.tags_in[stack[-1]] += 1
                 elif tag in BLOCK:
-                    silent = silent if tag != "body" else 0
+                    if tag == "body":
+                        silent.clear()
                     flush()
                     if tag not in ("html", "body") and self.tag[stack[-1]] == "p":
                         stack.pop()
@@ -138,7 +140,8 @@ class Page:
             elif closing:
                 tag = closing.lower()
                 if tag in SILENT:
-                    silent = max(0, silent - 1)
+                    if tag in silent:
+                        del silent[len(silent) - 1 - silent[::-1].index(tag) :]
                 elif tag == "a":
                     links = max(0, links - 1)
                 elif tag in BLOCK:
