@@ -71,14 +71,16 @@ def count_tokens(
     frequent = pieces.filter(short & (F.col("seen") >= 2**lowest)).select("piece", "tokens")
 
     keys = ["row", "doc_id", "n_bytes", "n_special"]
-    # Numbered before the explosion, and only used within the table written below.
-    spread = rows.withColumn("row", F.monotonically_increasing_id()).select(
-        "row",
+    # Numbered before the explosion, and only used within the table written below. All else is
+    # computed before it too, so that no text is copied along with each of its pre-tokens.
+    numbered = rows.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
         (F.size(parts) - 1).cast("long").alias("n_special"),
-        F.explode_outer(cut).alias("piece"),
+        cut.alias("pieces"),
     )
+    spread = numbered.select(*keys, F.explode_outer("pieces").alias("piece"))
     frequencies = scratch.table(
         spread.join(F.broadcast(frequent), "piece", "left")
         .withColumn("rare", F.when(F.col("tokens").isNull(), F.col("piece")))
