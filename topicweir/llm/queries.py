@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topicweir.llm import decontaminate, html_extract, jaccard_join, line_dedup, packing, pii, token_counts, topk_search, toxicity
+from topicweir.llm import decontaminate, html_extract, jaccard_join, line_dedup, packing, pii, substring_dedup, token_counts, topk_search, toxicity
 from topicweir.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
