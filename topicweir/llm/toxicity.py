@@ -185,8 +185,9 @@ def _score(weights: dict[str, float], intercept: float):
                 known.clear()
             for text in batch.column("text").to_pylist():
                 words = words_of(text or "")
-                for w in words - known.keys():
-                    known[w] = sum(get(f, 0.0) for f in features_of(w))
+                for w in words:
+                    if w not in known:
+                        known[w] = sum(get(f, 0.0) for f in features_of(w))
                 # Summed in one order, so that equal texts have equal scores.
                 margins.append(intercept + float(np.sum(np.sort(np.fromiter(map(known.__getitem__, words), float, len(words))))))
             scores = 1 / (1 + np.exp(-np.clip(np.array(margins, dtype=float), -40, 40)))
