@@ -34,12 +34,6 @@ def test_scores(spark, monkeypatch, limit):
     assert results(spark, TEXTS) == [model(t, SMALL) for t in TEXTS]
 
 
-def test_without_automaton_library(spark, monkeypatch):
-    monkeypatch.setattr(matching, "MAX_CONTAINS_TERMS", 0)
-    monkeypatch.setattr(matching, "ahocorasick", None)
-    assert results(spark, TEXTS) == [model(t, SMALL) for t in TEXTS]
-
-
 def test_length_factor(spark):
     plain, long = results(spark, ["y" * 997 + "dna", "y" * 998 + "dna"])
     assert plain == ("bio", 2.5) and long == ("bio", 3.0)
@@ -117,3 +111,13 @@ def test_incremental(spark):
     )
     rows = classify.incremental_classify(new, old, SMALL, ["path", "length"]).orderBy("path").collect()
     assert [(r.path, r.subject, r.reused) for r in rows] == [("a", "kept", True), ("b", "chem", False), ("c", "bio", False)]
+
+
+def test_incremental_keeps_null_keys_and_single_rows(spark):
+    new = spark.createDataFrame([("a", None, "dna"), (None, 1, "acid"), ("c", 3, "salt"), ("c", 3, "salt")], "path string, length int, text string")
+    old = spark.createDataFrame(
+        [("a", None, "chem", 0.5), ("c", 3, "bio", 0.2), ("c", 3, "chem", 0.9)], "path string, length int, subject string, confidence double"
+    )
+    rows = classify.incremental_classify(new, old, SMALL, ["path", "length"]).collect()
+    got = sorted(((r.path, r.length, r.subject, r.reused) for r in rows), key=str)
+    assert got == [("a", None, "chem", True), ("c", 3, "chem", True), ("c", 3, "chem", True), (None, 1, "chem", False)]

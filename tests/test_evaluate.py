@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from topicweir.operators import evaluate, report
+from topicweir.operators import evaluate, report, training
 
 PAIRS = st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from("abcd")), min_size=1, max_size=60)
 
@@ -73,10 +73,22 @@ def test_reports(spark):
     s = report.confidence_summary(r).first()
     assert (s.avg_confidence, s.max_confidence, s.min_confidence) == pytest.approx((4.3 / 4, 2.5, 0.2))
     assert s.avg_known == pytest.approx(4.3 / 5)
-    bins = {x.name: (x.n, x.percent) for x in report.confidence_histogram(r).collect()}
+    bins = {x.name: (x.n, x.percent) for x in report.confidence_histogram(r, False).collect()}
     assert bins == {"<50%": (1, 25.0), "50-70%": (1, 25.0)}
     assert {x.name: x.n for x in report.confidence_histogram(r, True).collect()}[">=100%"] == 2
     t = report.timing_summary(r).first()
     assert (t.total_seconds, t.avg_seconds, t.min_seconds, t.max_seconds, t.files) == (5.0, 1.25, 1.0, 2.0, 6)
     assert t.files_per_second == pytest.approx(1.2) and t.avg_seconds_all == pytest.approx(5 / 6)
     assert report.timing_summary(r.limit(1)).first().files_per_second is None
+
+
+def test_missing_predictions_count_as_wrong(spark):
+    p = spark.createDataFrame([(1, "a", "a"), (2, "b", "b"), (3, "a", None), (4, "b", None)], "doc_id int, label string, prediction string")
+    assert evaluate.accuracy(p).first().accuracy == 0.5
+    assert evaluate.macro_metrics(p).first().accuracy == 0.5
+    cells = {(r.label, r.prediction): r.n for r in evaluate.confusion_matrix(p).collect()}
+    assert cells["a", evaluate.NO_CLASS] == 1 and cells["a", "a"] == 1 and sum(cells.values()) == 4
+    assert {r.doc_id for r in evaluate.analyze_errors(p, text=None).collect()} == {3, 4}
+    both = p.withColumnRenamed("prediction", "x")
+    assert training.agreement_rate(both, "label", "x").first().agreement == 0.5
+    assert training.distillation_accuracy(both.withColumn("y", both.x), "label", "x", "y").first().teacher_accuracy == 0.5

@@ -77,6 +77,8 @@ def test_hit_rate(spark, monkeypatch, limit):
     df = spark.createDataFrame([("a", "Red dna car"), ("a", "red"), ("b", ""), ("q", "one two")], "label string, text string")
     got = {r.label: r.hit_rate for r in keywords.keyword_hit_rate(df, packed).collect()}
     assert got == {"a": 0.5, "b": 0.0, "q": 0.0}
+    only = keywords.keyword_hit_rate(df.filter("label = 'a'"), packed).collect()
+    assert {r.label: (r.hits, r.words, r.hit_rate) for r in only} == {"a": (2, 4, 0.5), "b": (0, 0, 0.0)}
     low = {r.label: r.hit_rate for r in keywords.keyword_hit_rate(df, packed, lower_keywords=True).collect()}
     assert low["a"] == 0.75
 
@@ -96,3 +98,9 @@ def test_export_and_segment_terms(spark):
     assert [r.keyword for r in rows] == ["数学公式、几何、代数、计算", "函数", "x", "pH值", "word"]
     assert [r.kw_ord for r in rows] == [0, 1, 2, 3, 0]
     assert {r.keyword for r in keywords.segment_terms(table).collect()} == {"函数", "pH值"}
+
+
+def test_class_keywords_are_not_capped(spark):
+    df = spark.range(1).selectExpr("'a' AS label", "array_join(transform(sequence(1, 3000), i -> concat('w', i)), ' ') AS text")
+    assert keywords.class_keywords(df, ["a"], 2000).count() == 2000
+    assert keywords.class_keywords(df, ["a"], 2000, max_terms=1000).count() == 1000

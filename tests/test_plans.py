@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from conftest import plan_of
 from topicweir.operators import classify, dataset, keywords
 from topicweir.plans import queries
-from topicweir.runtime import literal_table, settle, small_side, spread, write_once
+from topicweir.runtime import Scratch, literal_table, settle, spread, write_once
 
 TRAINING = {"train_teacher", "train_student", "distill", "train_job"}
 
@@ -67,8 +67,6 @@ def test_runtime_helpers(spark, sf):
     assert spread(docs, "doc_id").rdd.getNumPartitions() == slots
     many = spark.range(0, 100, 1, slots + 3)
     assert spread(many, "id") is many
-    assert "broadcast" in small_side(many, 100)._jdf.queryExecution().logical().toString().lower()
-    assert small_side(many, 99) is many
     written = write_once(many, "t")
     assert written.count() == 100 and "parquet" in plan_of(written).lower()
     table = literal_table(spark, [("a'\"\n", 1, None)], ["s", "i", "d"], ["string", "int", "double"])
@@ -77,7 +75,25 @@ def test_runtime_helpers(spark, sf):
 
 
 def test_contract(spark):
-    names, sql = set(contract.queries()), contract.oracle_sql()
-    assert set(sql) <= names and names - set(sql) == TRAINING
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(queries.QUERIES) <= set(contract.oracle_sql()) & set(contract.queries())
     out = contract.entry(spark)
     assert out.columns == ["subject", "ord", "n", "percent"] and out.count() > 0
+
+
+def test_split_reads_its_input_once(spark, sf):
+    rows = queries.labelled_ids(spark, sf, "text")
+    plan = plan_of(dataset.stratified_split(rows, queries.SUBJECTS))
+    assert plan.count("FileScan") == 1 and "Window" not in plan
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    import glob
+
+    spark_dir = spark.conf.get("spark.checkpoint.dir")
+    with Scratch(spark, "probe") as scratch:
+        kept = scratch.table(spark.range(10), "a")
+        assert kept.count() == 10 and glob.glob(f"{spark_dir}/probe-*/a/*.parquet")
+        scratch.drop("a")
+        assert not glob.glob(f"{spark_dir}/probe-*/a")
+    assert not glob.glob(f"{spark_dir}/probe-*")

@@ -7,17 +7,14 @@ an Arrow-batched function that scans the text once with an Aho-Corasick automato
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from topicweir.sources.dictionary import KeywordDictionary
 
-try:
-    import ahocorasick
-except ImportError:  # plain substring tests give the same counts
-    ahocorasick = None
-
-# Measured on 10,000 documents: above this many entries one automaton pass is quicker.
+# Measured on 10,000 documents: above this many entries one automaton pass is quicker. The counts
+# are the same either way; `max_contains` chooses.
 MAX_CONTAINS_TERMS = 32
 
 
@@ -41,8 +38,8 @@ def _automaton_counts(dictionary: KeywordDictionary):
 
     def found_keywords():
         """A function from text to the set of keywords it contains."""
-        if ahocorasick is None or not owners:
-            return lambda text: {k for k in owners if k in text}
+        if not owners:
+            return lambda text: set()
         machine = ahocorasick.Automaton()
         for kw in owners:
             machine.add_word(kw, kw)
@@ -67,19 +64,21 @@ def _automaton_counts(dictionary: KeywordDictionary):
     return counts
 
 
-def keyword_counts(low: Column, dictionary: KeywordDictionary) -> Column:
+def keyword_counts(low: Column, dictionary: KeywordDictionary, max_contains: int | None = None) -> Column:
     """Array with one count per subject; `low` is the lower-cased text, never null."""
-    if dictionary.size <= MAX_CONTAINS_TERMS:
+    if dictionary.size <= (MAX_CONTAINS_TERMS if max_contains is None else max_contains):
         return F.array(*[_contains_terms(low, kws) for _, kws in dictionary.entries])
     return _automaton_counts(dictionary)(low)
 
 
-def own_class_count(low: Column, label: Column, dictionary: KeywordDictionary) -> Column:
+def own_class_count(
+    low: Column, label: Column, dictionary: KeywordDictionary, max_contains: int | None = None
+) -> Column:
     """Count for the row's own subject only; 0 for a label the dictionary lacks."""
-    if dictionary.size <= MAX_CONTAINS_TERMS:
+    if dictionary.size <= (MAX_CONTAINS_TERMS if max_contains is None else max_contains):
         out = F.lit(0)
         for subject, kws in dictionary.entries:
             out = F.when(label == subject, _contains_terms(low, kws)).otherwise(out)
         return out
     position = F.array_position(F.array(*[F.lit(s) for s in dictionary.subjects]), label)
-    return F.coalesce(F.get(keyword_counts(low, dictionary), (position - 1).cast("int")), F.lit(0))
+    return F.coalesce(F.get(keyword_counts(low, dictionary, max_contains), (position - 1).cast("int")), F.lit(0))

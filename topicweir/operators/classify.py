@@ -1,6 +1,7 @@
 """Keyword, model and combined classification of a text column. All narrow: no shuffle."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,7 +11,7 @@ from topicweir.functions.fixed_values import SLIDES_KEYWORD_ONLY, UNKNOWN
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import arg_max
 from topicweir.operators.extraction import deck_text
-from topicweir.runtime import settle, small_side, write_once
+from topicweir.runtime import settle, write_once
 from topicweir.sources.dictionary import KeywordDictionary
 
 DEFAULTS = ClassifySettings()
@@ -165,12 +166,25 @@ def incremental_classify(
     """Score only rows without a stored result for the same key; return old and new results.
 
     A changed size or time is a new key, so the row is scored again and the old result goes.
-    New keys are found from the key columns alone and written once; the texts are matched
-    against that list, so they are shuffled only when very much is new.
+    Every new row gives one row: keys are compared null-safe, and of several results stored under
+    one key the most confident is taken. Keys are matched by themselves and written once; rows are
+    then joined to that table, so texts move only if very many rows are new.
     """
-    columns = [*keys, "subject", "confidence"]
-    fresh_keys = write_once(new.select(*keys).join(results.select(*keys), list(keys), "left_anti"), "new-keys")
-    todo = new.join(small_side(fresh_keys), list(keys), "left_semi")
-    kept = results.select(*columns).join(new.select(*keys), list(keys), "left_semi")
+    names = list(keys)
+    stored = results.groupBy(*names).agg(F.max(F.struct("confidence", "subject")).alias("_stored"))
+    matched = _same_keys(new.select(*names).distinct(), stored, names, "left")
+    matched = write_once(matched, "matched-keys")
+    kept = _same_keys(new.select(*names), matched.filter("_stored IS NOT NULL"), names, "inner").select(
+        *names, F.col("_stored.subject").alias("subject"), F.col("_stored.confidence").alias("confidence"), F.lit(True).alias("reused")
+    )
+    todo = _same_keys(new, matched.filter("_stored IS NULL").select(*names), names, "left_semi")
+    columns = [*names, "subject", "confidence"]
     fresh = cascade_classify(todo, dictionary, model, text).select(*columns)
-    return kept.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+    return kept.unionByName(fresh.withColumn("reused", F.lit(False)))
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, where nulls are equal; the keys come from the left."""
+    right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_k_{k}" for k in keys])

@@ -35,39 +35,40 @@ def pick_by_hash(
     """Add `picked`: true for the first `quota` rows of each class in hash order.
 
     No class is gathered in one task. Rows are counted per (class, hash prefix); the running
-    count tells which prefix holds the class's cut. Rows below that prefix are picked, rows
-    above are not, and only the rows of that one prefix (1/65536 of a class) are ranked.
+    count tells which prefix holds the class's cut, and the hashes and ids of that one prefix
+    (1/65536 of a class, no other column) are ranked to find the last row that is picked. The
+    data are then read once and compared with the cut of their class.
 
-    `quota` turns a table (label, n) into (label, quota).
+    `quota` turns a table (label, n) into (label, quota). Rows without a configured label go.
     """
-    rows = df.filter(F.col(label).isin(list(subjects))).withColumn("_hash", hash_key(seed, id_col))
-    rows = rows.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
-    buckets = rows.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
+    keys = df.filter(F.col(label).isin(list(subjects))).select(label, hash_key(seed, id_col).alias("_hash"), F.col(id_col).alias("_id"))
+    keys = keys.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
+    buckets = keys.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
     classes = buckets.groupBy(label).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(label).orderBy("_prefix"))
-    cuts = (
+    quotas = quota(classes).select(label, "quota")
+    edges = (
         buckets.withColumn("_upto", upto)
-        .join(F.broadcast(quota(classes).select(label, "quota")), label)
+        .join(F.broadcast(quotas), label)
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("n") < F.col("quota")))
-        .select(label, F.col("_prefix").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("n")).alias("_room"))
+        .select(label, "_prefix", (F.col("quota") - F.col("_upto") + F.col("n")).alias("_room"))
     )
-    # a class no larger than its quota has no cut: all of it is below
-    every = F.when(F.col("quota") > 0, F.lit("g")).otherwise(F.lit(""))
-    bounds = (
-        quota(classes)
-        .join(cuts, label, "left")
-        .select(label, F.coalesce("_cut", every), F.coalesce("_room", F.lit(0)))
-        .collect()
+    order = Window.partitionBy(label).orderBy("_hash", "_id")
+    last = (
+        keys.join(F.broadcast(edges), [label, "_prefix"])
+        .withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") == F.col("_room"))
+        .select(label, F.struct("_hash", F.col("_id").cast("string").alias("_id")).alias("_last"))
     )
-    # at most one row per configured class
-    bounds = literal_table(df.sparkSession, bounds, [label, "_cut", "_room"], ["string", "string", "long"])
-    bounded = rows.join(F.broadcast(bounds), label)
-    sure = bounded.filter(F.col("_prefix") != F.col("_cut")).withColumn("picked", F.col("_prefix") < F.col("_cut"))
-    order = Window.partitionBy(label).orderBy("_hash", id_col)
-    edge = bounded.filter(F.col("_prefix") == F.col("_cut")).withColumn(
-        "picked", F.row_number().over(order) <= F.col("_room")
-    )
-    return sure.unionByName(edge).select(*df.columns, "picked")
+    # At most one row per configured class; a class without a last row is picked whole or not at all.
+    found = quotas.join(last, label, "left").select(label, "quota", "_last._hash", "_last._id").collect()
+    none, every = ("", None), ("g", None)
+    cuts = [(r[label], *((r["_hash"], r["_id"]) if r["_hash"] else every if r["quota"] > 0 else none)) for r in found]
+    cuts = literal_table(df.sparkSession, cuts, [label, "_cut", "_cut_id"], ["string", "string", "string"])
+    bounded = df.withColumn("_hash", hash_key(seed, id_col)).join(F.broadcast(cuts), label)
+    upto_id = F.col(id_col) <= F.col("_cut_id").cast(df.schema[id_col].dataType)
+    picked = (F.col("_hash") < F.col("_cut")) | ((F.col("_hash") == F.col("_cut")) & upto_id)
+    return bounded.select(*df.columns, picked.alias("picked"))
 
 
 def limit_per_class(

@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from topicweir.runtime import per_class_window
 
 SAMPLE_CHARS = 100
+NO_CLASS = "(none)"
+
+
+def is_hit(label: str, prediction: str) -> Column:
+    """1.0 or 0.0 for every row; a missing label or prediction is no hit."""
+    return F.coalesce((F.col(label) == F.col(prediction)).cast("double"), F.lit(0.0))
 
 
 def accuracy(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return p.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
+    return p.agg(F.avg(is_hit(label, prediction)).alias("accuracy"))
 
 
 def pair_counts(
@@ -78,7 +84,11 @@ def compare_models(
 
 
 def confusion_matrix(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Every (true, predicted) cell over the sorted classes seen on either side, zeros included."""
+    """Every (true, predicted) cell over the sorted classes seen on either side, zeros included.
+
+    Classes are text; a missing one is counted as the class NO_CLASS.
+    """
+    p = p.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NO_CLASS)).alias(c) for c in dict.fromkeys((label, prediction))])
     sides = F.array(
         F.struct("label", F.struct("prediction", "n").alias("cell")),
         # a class that is only predicted gets a row of zeros
@@ -141,11 +151,11 @@ def analyze_errors(
     label: str = "label",
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Wrong rows with both classes, their probabilities where known, and a text sample.
+    """Wrong rows, those without a prediction included, with both classes, their probabilities where known, and a text sample.
 
     `classes` names the positions of the probability array.
     """
-    wrong = p.filter(F.col(label) != F.col(prediction))
+    wrong = p.filter(~F.col(label).eqNullSafe(F.col(prediction)))
     if probability is None:
         true_prob = pred_prob = F.lit(None).cast("double")
     else:

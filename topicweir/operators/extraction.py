@@ -57,14 +57,17 @@ def extract_corpus(
     Slides are cut to the first ones before decks are matched, so a deck with very many slide
     rows is small by then; ranking, matching and grouping share one partitioning by deck.
     """
-    first = first_slides(slides.select(deck, idx, text), max_slides, deck, idx)
     if saved is not None:
-        first = first.join(saved.select(deck), deck, "left_anti")
-    fresh = first.groupBy(deck).agg(joined_text(idx, text).alias("text")).withColumn("reused", F.lit(False))
-    if saved is not None:
-        fresh = fresh.unionByName(saved.select(deck, F.col("text"), F.lit(True).alias("reused")))
-    return (
-        decks.select(deck)
-        .join(fresh, deck, "left")
-        .withColumns({"text": F.coalesce("text", F.lit("")), "reused": F.coalesce("reused", F.lit(False))})
+        flagged = slides.select(deck, idx, text).join(saved.select(deck), deck, "left_anti")
+    else:
+        flagged = slides.select(deck, idx, text)
+    fresh = deck_text(flagged, max_slides, deck, idx, text)
+    out = decks.select(deck).join(fresh, deck, "left")
+    if saved is None:
+        return out.select(deck, F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("reused"))
+    kept = saved.select(deck, F.col("text").alias("_saved"), F.lit(True).alias("_reused"))
+    return out.join(kept, deck, "left").select(
+        deck,
+        F.coalesce("_saved", "text", F.lit("")).alias("text"),
+        F.coalesce("_reused", F.lit(False)).alias("reused"),
     )

@@ -11,7 +11,6 @@ from topicweir.operators.dataset import subject_table
 from topicweir.runtime import literal_table, settle
 from topicweir.sources.dictionary import KeywordDictionary
 
-MAX_CLASS_TERMS = 1000
 MERGED_PER_SUBJECT = 50
 
 
@@ -65,8 +64,11 @@ def class_keywords(
     label: str = "label",
     text: str = "text",
     stop: Sequence[str] = tuple(STOPWORDS),
+    max_terms: int | None = None,
 ) -> DataFrame:
-    """Most frequent terms per class as a dictionary table with counts.
+    """The `n` most frequent terms per class as a dictionary table with counts.
+
+    `max_terms` puts a further bound on every class, for callers that keep a fixed vocabulary size.
 
     One class can hold most of the rows: counts are combined before the shuffle, and the rank
     filter trims every partition to the leading terms before a class meets in one task.
@@ -77,7 +79,7 @@ def class_keywords(
         F.count(F.lit(1)).alias("n")
     )
     order = Window.partitionBy(label).orderBy(F.col("n").desc(), "keyword")
-    ranked = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= min(n, MAX_CLASS_TERMS))
+    ranked = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= (n if max_terms is None else min(n, max_terms)))
     table = subject_table(df.sparkSession, subjects, "subject")
     return ranked.withColumnRenamed(label, "subject").join(F.broadcast(table), "subject").select(
         "subject",
@@ -130,7 +132,10 @@ def keyword_hit_rate(
     text: str = "text",
     lower_keywords: bool = False,
 ) -> DataFrame:
-    """Per class: own keywords found (each once per text) over whitespace words."""
+    """Per class: own keywords found (each once per text) over whitespace words.
+
+    Labels are one per class, so the rated table is small.
+    """
     packed = (dictionary.lowered() if lower_keywords else dictionary).distinct()
     low = df.select(F.col(label), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     sums = (
@@ -143,7 +148,12 @@ def keyword_hit_rate(
         .agg(F.sum("_hits").alias("hits"), F.sum("_words").alias("words"))
     )
     rate = F.when(F.col("words") > 0, F.col("hits") / F.col("words")).otherwise(F.lit(0.0))
-    return sums.withColumn("hit_rate", rate)
+    rated = sums.withColumn("hit_rate", rate)
+    # A subject without texts has its row too, with nothing found.
+    named = subject_table(df.sparkSession, packed.subjects, label).select(label)
+    missing = named.join(F.broadcast(rated.select(label)), label, "left_anti")
+    zero = F.lit(0).cast("long")
+    return rated.unionByName(missing.select(label, zero.alias("hits"), zero.alias("words"), F.lit(0.0).alias("hit_rate")))
 
 
 def dictionary_stats(dictionary: DataFrame, examples: int = 5) -> DataFrame:

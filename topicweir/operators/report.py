@@ -37,11 +37,11 @@ def confidence_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def confidence_histogram(results: DataFrame, with_overflow: bool = False) -> DataFrame:
+def confidence_histogram(results: DataFrame, with_overflow: bool = True) -> DataFrame:
     """Rows and share per confidence bin, empty bins left out.
 
-    The last bin ends below 1.0, so confidences from 1.0 on are in no bin but count in the
-    share's base; `with_overflow` adds a bin for them.
+    The last named bin ends below 1.0; confidences from 1.0 on, which keyword results reach, have a
+    bin of their own. Without `with_overflow` they are in no bin but count in the share's base.
     """
     bins = [*CONFIDENCE_BINS, (1.0, float("inf"), ">=100%")] if with_overflow else CONFIDENCE_BINS
     c = F.col("confidence")

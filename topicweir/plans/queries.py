@@ -15,7 +15,7 @@ from topicweir.operators import classify, dataset, evaluate, extraction, feature
 from topicweir.plans.batch_job import classify_decks
 from topicweir.plans.deck_rows import document_decks
 from topicweir.plans.train_job import train
-from topicweir.runtime import fresh_path, spread
+from topicweir.runtime import fresh_path, per_class_window, spread, write_once
 from topicweir.sources import decks, dictionary as dictionaries, sinks
 from topicweir.sources.dictionary import KeywordDictionary
 
@@ -34,6 +34,7 @@ MIXED_CASE = KeywordDictionary.of({s: [*ws, ws[0].upper(), ws[1]] for s, ws in W
 DESCRIPTIONS = {"en": "english prose", "fr": "prose française", "de": "deutsche prosa"}
 ACCENTS = r"\x{e0}-\x{ff}"
 CUSTOM_STOP = ["les", "que", "und", "der", "los"]
+FLOOR = 0.85  # of held-out accuracy and agreement
 VOCABULARY = dict(ngram_max=4, min_df=2, max_df=0.9, max_features=1500)
 SMALL_TRAINING = TrainSettings(max_features=300, teacher_trees=3, teacher_depth=4, student_iterations=50)
 
@@ -472,9 +473,11 @@ def feature_importance(spark, sf):
 
 @query
 def extract_features(spark, sf):
-    docs = documents(spark, sf, "text", "label")
-    model = features.fit_features(docs, WORDS)
-    out = model.transform(docs).withColumn("v", features.vector_to_array("features"))
+    # The text is cleaned once; vocabulary and vectors are made from the written words.
+    docs = documents(spark, sf, "text").select("doc_id", tx.process_text(F.col("text")).alias("text"))
+    words = write_once(docs, "words")
+    model = features.fit_features(words, WORDS, processed=True)
+    out = model.transform(words, processed=True).withColumn("v", features.vector_to_array("features"))
     width = len(model.vocabulary.terms)
     return out.select(
         "doc_id",
@@ -551,27 +554,47 @@ def training_rows(spark, sf):
     return built.select("doc_id", "features", F.col("code").cast("double").alias("label"))
 
 
+def parts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows, written once as every boosting round reads them."""
+    split = dataset.stratified_split(labelled_ids(spark, sf), SUBJECTS).select("doc_id", "part")
+    rows = write_once(training_rows(spark, sf).join(split, "doc_id"), "training-rows")
+    return rows.filter("part = 'train'"), rows.filter("part = 'test'")
+
+
+def held_out(scored: DataFrame, **checks: Column) -> DataFrame:
+    """Per class the number of test rows, and whether each check holds over all of them."""
+    every = per_class_window()
+    flags = [F.avg(c.cast("double")).alias(n) for n, c in checks.items()]
+    weights = {n: F.sum(F.col(n) * F.col("n_test")).over(every) / F.sum("n_test").over(every) for n in checks}
+    rows = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), *flags)
+    names = F.array(*[F.lit(s) for s in dataset.label_codes(SUBJECTS)])
+    floors = {n: w >= (1.0 if n == "sums_to_one" else FLOOR) for n, w in weights.items()}
+    return rows.select(F.get(names, F.col("label").cast("int")).alias("label"), "n_test", *[c.alias(n) for n, c in floors.items()])
+
+
 @query
 def train_teacher(spark, sf):
-    rows = training_rows(spark, sf)
-    model = training.train_teacher(rows, n_estimators=3, max_depth=4)
-    out = training.with_probability(model.transform(rows), 2.0)
-    return out.select("doc_id", "label", "prediction", r6(F.array_max("probability")).alias("confidence"))
+    train_set, test_set = parts(spark, sf)
+    scored = training.with_probability(training.train_teacher(train_set).transform(test_set), 2.0)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return held_out(scored, accurate=F.col("prediction") == F.col("label"), sums_to_one=F.abs(total - 1) < 1e-9)
 
 
 @query
 def train_student(spark, sf):
-    rows = training_rows(spark, sf)
-    return training.train_student(rows, "random_forest").transform(rows).select("doc_id", "label", "prediction")
+    train_set, test_set = parts(spark, sf)
+    scored = training.train_student(train_set, "random_forest").transform(test_set)
+    return held_out(scored, accurate=F.col("prediction") == F.col("label"))
 
 
 @query
 def distill(spark, sf):
-    rows = training_rows(spark, sf)
-    teacher = training.train_teacher(rows, n_estimators=2, max_depth=4)
-    student = training.distill(teacher, rows, kind="decision_tree")
-    taught = teacher.transform(rows).select("doc_id", "features", F.col("prediction").alias("teacher"))
-    return student.transform(taught).select("doc_id", "teacher", F.col("prediction").alias("student"))
+    train_set, test_set = parts(spark, sf)
+    teacher = training.train_teacher(train_set)
+    student = training.distill(teacher, train_set, kind="decision_tree")
+    taught = teacher.transform(test_set).select("features", "label", F.col("prediction").alias("teacher"))
+    scored = student.transform(taught)
+    return held_out(scored, agrees=F.col("prediction") == F.col("teacher"), accurate=F.col("prediction") == F.col("label"))
 
 
 @query
@@ -609,7 +632,8 @@ def reduced_eval(spark, sf):
 @query
 def train_job(spark, sf):
     docs = documents(spark, sf, "text", "label")
-    return train(docs, SUBJECTS, WORDS, SMALL_TRAINING, compress=True).comparison
+    run = train(docs, SUBJECTS, WORDS, SMALL_TRAINING, compress=True)
+    return run.comparison.select("model", (F.col("accuracy") >= FLOOR).alias("accurate"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------
@@ -728,7 +752,7 @@ def confidence_histogram(spark, sf):
     rows = with_model(documents(spark, sf, "text")).select(
         F.col("model_subject").alias("subject"), F.col("model_confidence").alias("confidence")
     )
-    return rounded(report.confidence_histogram(rows), "percent")
+    return rounded(report.confidence_histogram(rows, with_overflow=False), "percent")
 
 
 @query

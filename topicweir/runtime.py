@@ -84,15 +84,6 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[F.col(n) for n in names]))))
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A broadcast hint only where a count shows few rows; otherwise the frame as it is.
-
-    For key-only frames that were written or cached, as the count reads them once more.
-    """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
-
-
 class Scratch:
     """Intermediate tables in the shared folder, removed by `close()` or one by one.
 

@@ -138,10 +138,19 @@ def _read_slides(path: str, content: bytes, max_slides: int) -> tuple:
     return path, slides, error, time.perf_counter() - start
 
 
+def _bytes_in(value) -> int:
+    """Bytes of the texts and blobs anywhere in a row; unpacked parts can be far larger than their deck."""
+    if isinstance(value, (str, bytes)):
+        return len(value)
+    if isinstance(value, dict):
+        value = value.values()
+    return sum(map(_bytes_in, value)) if isinstance(value, (list, tuple, type({}.values()))) else 8
+
+
 def _in_batches(
     decks: Iterator[pa.RecordBatch], read: Callable[[str, bytes], list[tuple]], schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    """Rows read from each deck, handed on whenever a few megabytes of decks have been read."""
+    """Rows read from each deck, handed on whenever a few megabytes of rows have been read."""
     rows: list[tuple] = []
     held = 0
 
@@ -152,8 +161,9 @@ def _in_batches(
     for batch in decks:
         for path, content in zip(batch.column("path"), batch.column("content")):
             body = content.as_py()
-            rows.extend(read(path.as_py(), body))
-            held += len(body)
+            found = read(path.as_py(), body)
+            rows.extend(found)
+            held += sum(map(_bytes_in, found))
             if held > BATCH_BYTES:
                 yield flush()
                 rows, held = [], 0
