@@ -19,7 +19,7 @@ PRETOKEN = (
 )
 SPECIAL = "<|endoftext|>"
 
-HEAD = 100_000
+HEAD = 200_000
 HEAD_BYTES = 64
 LIMIT = 1024
 
@@ -70,35 +70,43 @@ def count_tokens(
         held += sizes.get(lowest, 0)
     frequent = pieces.filter(short & (F.col("seen") >= 2**lowest)).select("piece", "tokens")
 
-    keys = ["row", "doc_id", "n_bytes", "n_special"]
-    # Numbered before the explosion, and only used within the table written below. All else is
-    # computed before it too, so that no text is copied along with each of its pre-tokens.
-    numbered = rows.select(
-        F.monotonically_increasing_id().alias("row"),
+    # All else is computed before the explosion, so no text is copied along with its pre-tokens.
+    # Rows alike in id and text are counted together and parted again at the end.
+    keys = ["doc_id", "hash"]
+    known = rows.select(
         "doc_id",
+        F.xxhash64("text").alias("hash"),
         F.octet_length("text").cast("long").alias("n_bytes"),
         (F.size(parts) - 1).cast("long").alias("n_special"),
         cut.alias("pieces"),
     )
-    spread = numbered.select(*keys, F.explode_outer("pieces").alias("piece"))
-    frequencies = scratch.table(
-        spread.join(F.broadcast(frequent), "piece", "left")
-        .withColumn("rare", F.when(F.col("tokens").isNull(), F.col("piece")))
-        .groupBy(*keys, "rare")
-        .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("times")),
-        "frequencies",
+    common = (
+        known.select(*keys, "n_bytes", "n_special", F.posexplode_outer("pieces").alias("at", "piece"))
+        .join(F.broadcast(frequent), "piece", "left")
+        .groupBy(*keys)
+        .agg(
+            F.sum("tokens").alias("tokens"),
+            F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"),
+            F.max("n_bytes").alias("n_bytes"),
+            F.max("n_special").alias("n_special"),
+        )
     )
+    # Dealt out once, by pre-token; frequencies and the join need no further exchange.
     rare = (
-        frequencies.filter("rare IS NOT NULL")
-        .drop("tokens")
-        .join(pieces.select(F.col("piece").alias("rare"), "tokens"), "rare")
-        .withColumn("tokens", F.col("tokens") * F.col("times"))
+        known.select(*keys, F.explode("pieces").alias("piece"))
+        .join(F.broadcast(frequent), "piece", "left_anti")
+        .repartition("piece")
+        .groupBy("piece", *keys)
+        .agg(F.count("*").alias("times"))
+        .join(pieces.select("piece", "tokens"), "piece")
+        .select(*keys, (F.col("tokens") * F.col("times")).alias("tokens"))
     )
-    common = frequencies.filter("rare IS NULL")
-    counted = common.select(*keys, "tokens").unionByName(rare.select(*keys, "tokens"))
-    total = F.coalesce(F.sum("tokens"), F.lit(0)) + F.col("n_special")
+    counted = common.unionByName(rare, allowMissingColumns=True).groupBy(*keys).agg(
+        F.sum("tokens").alias("tokens"), *[F.max(c).alias(c) for c in ("copies", "n_bytes", "n_special")]
+    )
+    one = (F.coalesce("tokens", F.lit(0)) / F.col("copies") + F.col("n_special")).cast("long")
     return (
-        counted.groupBy(*keys)
-        .agg(total.cast("long").alias("n_tokens"))
+        counted.withColumn("n_tokens", one)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
