@@ -69,14 +69,14 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op3_exact_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
     FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
 
@@ -93,3 +93,58 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _sql_words(text: str) -> str:
+    return f"regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _sql_lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_SQL_FOLDED = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL["op2_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_FOLDED.format(_sql_lower("text"))} AS ws FROM documents),
+i AS (SELECT item_id, {_SQL_FOLDED.format(_sql_lower("text"))} AS ws FROM benchmark),
+k AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[s : s + n - 1], ' ') AS w
+       FROM (SELECT *, unnest(range(1, (len(ws) - n + 2)::BIGINT)) AS s FROM k)),
+dw AS (SELECT r, n, s, array_to_string(ws[s : s + n - 1], ' ') AS w
+       FROM (SELECT r, ws, n, unnest(range(1, (len(ws) - n + 2)::BIGINT)) AS s FROM d, (SELECT DISTINCT n FROM k))),
+hit AS (SELECT r, dw.n, s, item_id FROM dw JOIN iw USING (n, w)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
+SQL["op5_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words("text")} AS ws FROM documents),
+win AS (SELECT r, doc_id, s, array_to_string(ws[s : s + 12], ' ') AS w
+        FROM (SELECT *, unnest(range(1, (len(ws) - 11)::BIGINT)) AS s FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM win JOIN f USING (w) WHERE first < doc_id),
+word AS (SELECT r, unnest(ws) AS x, unnest(range(1, (len(ws) + 1)::BIGINT)) AS p FROM d),
+kept AS (SELECT r, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t
+         FROM word LEFT JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+SQL["op7_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_sql_words(_sql_lower("text"))} AS ws FROM documents),
+s AS (SELECT doc_id, len(ws) AS n_words, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, (len(ws) - 3)::BIGINT), lambda i: array_to_string(ws[i : i + 4], ' '))) END) AS w FROM d),
+k AS (SELECT least(n_words, 5) AS n, w, doc_id FROM s),
+c AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+ov AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM k a JOIN k b ON a.n = b.n AND a.w = b.w AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM ov JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+m AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
