@@ -3,8 +3,8 @@
 The automaton is built over the words of all items. Document words stream through it and the
 longest match is tracked; where it reaches the length of a registered window (ten words of an
 item, or a whole shorter item), the window's words are hit. Items are dealt into blocks of
-bounded size, each with an automaton of its own, so a large test set needs more passes over a
-batch but never more memory. Documents never leave their task: there is no shuffle.
+bounded size, each with an automaton of its own, and a pass
+takes a bounded number of blocks, so a large test set needs more passes but never more memory. Documents never leave their task: there is no shuffle.
 """
 
 import re
@@ -16,8 +16,8 @@ from topicweir.llm.common import worker_state
 
 WINDOW = 10
 MAX_COVERAGE = 0.8
-BLOCK_BYTES = 1_000_000
-PASS_BYTES = 16_000_000
+BLOCK_BYTES = 500_000
+PASS_BYTES = 2_000_000  # the automata of one pass are in a worker at the same time
 
 # A-Z to a-z; ASCII other than letters and digits to blanks; all other bytes stay.
 _FOLD = bytes(
@@ -145,10 +145,15 @@ def _scan(blocks: list[tuple[str, list[tuple[str, str]]]], window: int):
     def run(batches):
         import pyarrow as pa
 
+        built = worker_state("automata", dict)
+        wanted = {(window, key) for key, _ in blocks}
+        for old in built.keys() - wanted:
+            del built[old]
+
         def automaton(key, items):
-            return worker_state(
-                f"automaton:{window}:{key}", lambda: Automaton([(i, ws) for i, t in items if (ws := words_of(t))], window)
-            )
+            if (window, key) not in built:
+                built[window, key] = Automaton([(i, ws) for i, t in items if (ws := words_of(t))], window)
+            return built[window, key]
 
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -442,8 +442,10 @@ def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     by a hash of their html, are used for fitting.
     """
     rows = pages.select("page_id", "url", "html")
-    # Rows of the least hashes: each task keeps `sample` of them, so no task or driver holds more.
-    chosen = rows.filter("html IS NOT NULL").select(F.xxhash64("html").alias("h"), F.substring("html", 1, BODY_CHARS).alias("html"))
-    sources = [r.html for r in chosen.filter(F.pmod("h", F.lit(4)) == 0).orderBy("h").limit(sample).collect()]
+    # A share of the hash range, each page once however often it repeats.
+    share = min(1.0, sample / max(1, rows.select("page_id").count()))
+    hashed = rows.filter("html IS NOT NULL").select(F.xxhash64("html").alias("h"), F.substring("html", 1, BODY_CHARS).alias("html"))
+    chosen = hashed.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.first("html").alias("html"))
+    sources = [r.html for r in chosen.limit(2 * sample).sort("h").collect()]
     id_kind, url_kind = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     return rows.mapInArrow(_extract(fit(sources)), f"page_id {id_kind}, url {url_kind}, text string, n_chars long")
