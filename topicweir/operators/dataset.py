@@ -41,7 +41,8 @@ def pick_by_hash(
 
     `quota` turns a table (label, n) into (label, quota). Rows without a configured label go.
     """
-    keys = df.filter(F.col(label).isin(list(subjects))).select(label, hash_key(seed, id_col).alias("_hash"), F.col(id_col).alias("_id"))
+    rows = df.filter(F.col(label).isin(list(subjects)))
+    keys = rows.select(label, hash_key(seed, id_col).alias("_hash"), F.col(id_col).alias("_id"))
     keys = keys.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
     buckets = keys.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
     classes = buckets.groupBy(label).agg(F.sum("n").alias("n"))
@@ -65,7 +66,7 @@ def pick_by_hash(
     none, every = ("", None), ("g", None)
     cuts = [(r[label], *((r["_hash"], r["_id"]) if r["_hash"] else every if r["quota"] > 0 else none)) for r in found]
     cuts = literal_table(df.sparkSession, cuts, [label, "_cut", "_cut_id"], ["string", "string", "string"])
-    bounded = df.withColumn("_hash", hash_key(seed, id_col)).join(F.broadcast(cuts), label)
+    bounded = rows.withColumn("_hash", hash_key(seed, id_col)).join(F.broadcast(cuts), label)
     upto_id = F.col(id_col) <= F.col("_cut_id").cast(df.schema[id_col].dataType)
     picked = (F.col("_hash") < F.col("_cut")) | ((F.col("_hash") == F.col("_cut")) & upto_id)
     return bounded.select(*df.columns, picked.alias("picked"))
