@@ -45,5 +45,14 @@ def test_one_long_line_weighs_as_several(spark):
     assert got == {1: rows[0][1], 2: "gamma\ndelta", 3: "alpha\nbeta", 4: "short line\nalpha"}
 
 
+def test_one_line_of_nine_words_goes_alone_and_shorter_ones_in_runs(spark):
+    nine, eight = " ".join(f"n{i}" for i in range(9)), " ".join(f"e{i}" for i in range(8))
+    rows = [(i, f"own{i}\n{nine}\nlast{i}\n{eight}") for i in range(5)]
+    rows += [(10, f"{eight}\nshort"), (11, f"x\n{eight}\nshort\ny"), (12, f"{nine} more\n{nine}")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {0: rows[0][1]} | {i: f"own{i}\nlast{i}\n{eight}" for i in range(1, 5)}
+    assert got == want | {10: rows[5][1], 11: "x\ny", 12: f"{nine} more"}
+
+
 def test_empty_table(no_docs):
     assert dedup_lines(no_docs).count() == 0

@@ -1,8 +1,10 @@
 """Line deduplication by winnowing over line hashes.
 
-Lines without text are passed over. A line of n words stands for ceil(n / UNIT_WORDS) units,
-each with a hash of the whole line and its number in it, so that a long line weighs as much as
-several short ones. Of every window of WINDOW consecutive units the least hash is selected as a
+Lines without text are passed over. A line of n words stands for ceil(n / UNIT_WORDS) units, at
+most WINDOW of them, each with a hash of the whole line and its number in it: a line that fills a
+window alone (9 words or more) is deleted wherever it stands again, shorter ones in runs that fill
+one. More units than WINDOW would change nothing, since every window that touches such a line
+names the whole line, and so does the line's own window. Of every window of WINDOW consecutive units the least hash is selected as a
 fingerprint; equal windows select equal fingerprints, so every repeated run of WINDOW units or
 more is sure to share one. Fingerprints that stand at one place only are dropped; around the
 others the windows are compared, which extends a match to both sides as far as it goes. A line
@@ -15,11 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 from topicweir.runtime import Scratch
 
 WINDOW = 3
-UNIT_WORDS = 16
+UNIT_WORDS = 4
 
 
-def line_units(text: str, unit_words: int):
-    """Line numbers of the units of a text, and their 64-bit hashes (signed)."""
+def line_units(text: str, window: int, unit_words: int):
+    """Line numbers of the units of a text, at most `window` a line, and their 64-bit hashes (signed)."""
     import numpy as np
     import xxhash
 
@@ -27,7 +29,7 @@ def line_units(text: str, unit_words: int):
     for number, line in enumerate(text.split("\n")):
         line = line.strip()
         if line:
-            units = -(-len(line.split()) // unit_words)
+            units = min(window, -(-len(line.split()) // unit_words))
             base = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
             lines += [number] * units
             hashes += [base] * units
@@ -47,7 +49,7 @@ def _fingerprints(window: int, unit_words: int):
         for batch in batches:
             source, prints, starts, keys, sizes = [], [], [], [], [0]
             for row, text in enumerate(batch.column("text").to_pylist()):
-                _, units = line_units(text, unit_words)
+                _, units = line_units(text, window, unit_words)
                 n = len(units) - window + 1
                 if n < 1:
                     continue
@@ -93,7 +95,7 @@ def _delete(window: int, unit_words: int):
                 totals.append(sum(1 for x in lines if x.strip()))
                 gone = set()
                 if starts:
-                    numbers, _ = line_units(text, unit_words)
+                    numbers, _ = line_units(text, window, unit_words)
                     hit = np.add.outer(np.array(starts, dtype=np.int64), np.arange(window)).ravel()
                     gone = set(numbers[hit].tolist())
                     text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
