@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from topicweir.llm.packing import best_pattern, cutting_stock, pack
+from topicweir.llm.packing import best_pattern, cutting_stock, fullest, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,6 +57,25 @@ def test_every_id_once_and_little_padding(spark, sf, limit, units, filler):
     assert padding <= 0.01 * total + limit
 
 
+@pytest.mark.parametrize("others", [350, 3000])
+def test_a_third_of_all_rows_a_little_over_half_a_sequence(spark, others):
+    text = lambda n, i: " ".join(["the"] * (n - 2) + [f"{'abcdefghij'[i % 10]}"])
+    rows = [(i if i % 5 else None, text(2100, 0) if i % 3 == 0 else text(others - i % 7, i)) for i in range(150)]
+    rows += [rows[3], rows[3], (rows[6][0], text(2090, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text")
+    packed = pack(docs, PATH)
+    padding, total = check(docs, packed, 4096)
+    assert padding == 0
+    assert packed.select("sequence_id").distinct().count() <= total // 4096 + 12
+
+
+def test_sequences_given_up_are_the_emptiest():
+    cuts = [(3, np.array([0, 0, 1, 0])), (2, np.array([4, 0, 0, 0])), (1, np.array([0, 1, 0, 0]))]
+    kept = fullest(cuts, 4)
+    assert [(t, p.tolist()) for t, p in kept] == [(2, [4, 0, 0, 0]), (2, [0, 0, 1, 0])]
+    assert fullest(cuts, 0) == []
+
+
 def test_odd_texts_and_repeated_rows(odd_docs):
     check(odd_docs, pack(odd_docs, PATH, limit=64, units=16, filler=3), 64)
 

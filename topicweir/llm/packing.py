@@ -5,9 +5,11 @@ own; what is left of each document is a piece of 1 to `limit - 1` tokens. The hi
 piece lengths, in classes of `limit / UNITS` tokens, is a cutting-stock problem: a linear
 program over patterns, whose columns are priced by a knapsack dynamic program. Rounded-down
 patterns take the pieces of each class by rank. Every FILLER-th piece stays out of the
-patterns and is cut freely into the room that is left in the sequences, so that hardly any
-padding remains; what is left of these pieces forms full sequences and, at the very end,
-sequences of a power of two.
+patterns and is cut freely into the room that is left in the sequences. Where these pieces
+cannot fill the room, the emptiest sequences are given up, as many as there are more than all
+tokens fill, and their pieces are cut into the room as well; their ids are made a second time.
+So no padding remains; what is left of the cut pieces forms full sequences and, at the very
+end, sequences of a power of two.
 
 Only the histogram (at most UNITS rows) and the patterns (about as many) are on the driver.
 """
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from topicweir.llm.common import load_tokenizer, text_rows, worker_state
-from topicweir.runtime import Scratch
+from topicweir.runtime import Scratch, literal_array
 
 LIMIT = 4096
 UNITS = 256
@@ -28,7 +30,7 @@ CACHE_ENTRIES = 400_000
 
 _PIECES = (
     "doc_id {kind}, part int, doc_tokens long, start long, length long, ids_crc32 long, "
-    "class int, place long, tail binary, tail_end long"
+    "class int, place long, tail binary, tail_end long, text_hash long"
 )
 
 
@@ -133,8 +135,29 @@ def _cut(path: str, end_id: int, limit: int, units: int, filler: int, id_type):
                     batch.column("doc_id").take(pa.array(source, pa.int64())),
                     pa.array([part] * len(source), pa.int32()),
                     *[pa.array(out[n], t) for n, t in zip(names, types)],
+                    batch.column("text_hash").take(pa.array(source, pa.int64())),
                 ],
-                names=["doc_id", "part", *names],
+                names=["doc_id", "part", *names, "text_hash"],
+            )
+
+    return run
+
+
+def _last_pieces(path: str, end_id: int, limit: int):
+    """Arrow batches of documents -> the ids behind their last full sequence."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids_of = _word_ids(path, end_id)
+        for batch in batches:
+            tails = []
+            for text in batch.column("text").to_pylist():
+                ids = ids_of(text)
+                tails.append(ids[len(ids) // (4 * limit) * 4 * limit :])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(tails, pa.binary())],
+                names=["_id", "_of", "tail"],
             )
 
     return run
@@ -220,6 +243,18 @@ def cutting_stock(demand: np.ndarray, rounds: int = 20_000) -> list[tuple[int, n
     return cuts
 
 
+def fullest(cuts: list[tuple[int, np.ndarray]], sequences: int) -> list[tuple[int, np.ndarray]]:
+    """The patterns of the `sequences` fullest sequences; what the others hold is to be cut."""
+    fill = [int((p * np.arange(1, len(p) + 1)).sum()) for _, p in cuts]
+    kept = []
+    for j in np.argsort([-f for f in fill], kind="stable"):
+        times = min(cuts[j][0], sequences)
+        if times > 0:
+            kept.append((times, cuts[j][1]))
+            sequences -= times
+    return kept
+
+
 def _slots(cuts: list[tuple[int, np.ndarray]], units: int) -> list[list[tuple[int, int, int, int]]]:
     """Per class: (first rank, pieces per sequence, first sequence, place in it) of each pattern."""
     slots = [[] for _ in range(units + 1)]
@@ -304,10 +339,10 @@ def pack(
 
     `docs` needs `doc_id` and `text`; other columns are ignored. A null or empty text is its end
     id alone. Each input row is packed by itself, also when rows or ids repeat. An empty table
-    gives no pieces. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    gives no pieces. `docs` is read a second time if sequences are given up. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     spark = docs.sparkSession
-    rows = text_rows(docs)
+    rows = text_rows(docs).withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType
     scratch = Scratch(spark, "packing")
     pieces = scratch.table(
@@ -329,19 +364,23 @@ def pack(
     )
     totals = {r["class"]: (r.n, r.tokens) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     demand = np.array([totals.get(c, (0, 0))[0] for c in range(1, units + 1)], dtype=np.int64)
-    cuts = cutting_stock(demand)
-    n_pattern = sum(times for times, _ in cuts)
+    # More sequences than all tokens fill would hold padding, whichever pieces are cut.
+    wanted = cutting_stock(demand)
+    n_pattern = min(sum(times for times, _ in wanted), sum(t for c, (_, t) in totals.items() if c >= 0) // limit)
+    cuts = fullest(wanted, n_pattern)
+    in_patterns = sum((times * pattern for times, pattern in cuts), np.zeros(units, dtype=np.int64))
     n_full = totals.get(-1, (0, 0))[0]
     filler_tokens = totals.get(0, (0, 0))[1]
 
     ranked = pieces.drop("tail").join(offsets, ["part", "class"]).withColumn("rank", F.col("place") + F.col("n_before"))
+    in_pattern = F.col("rank") < F.get(literal_array([0, *in_patterns.tolist()], "bigint"), F.col("class"))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     full = ranked.filter("class = -1").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("rank") + n_pattern).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
     assigned = (
-        ranked.filter("class > 0")
+        ranked.filter((F.col("class") > 0) & in_pattern)
         .select("doc_id", "doc_tokens", "start", "length", "ids_crc32", "class", "rank")
         .mapInPandas(
             _assign(_slots(cuts, units)),
@@ -354,6 +393,24 @@ def pack(
         "placed",
     )
 
+    # Pieces of the sequences given up go behind the filler.
+    freed = None
+    if (in_patterns < demand).any():
+        freed = _running(ranked.filter((F.col("class") > 0) & ~in_pattern), "length", "class", "place", block="part").select(
+            "doc_id", "doc_tokens", "text_hash", F.col("start").alias("piece_start"), F.col("length").alias("size"),
+            (F.col("before") + filler_tokens).cast("long").alias("from"),
+        )
+        freed = scratch.table(freed, "freed")
+        filler_tokens += freed.agg(F.sum("size")).first()[0]
+        keys = freed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_of"))
+        tails = (
+            rows.join(keys, same, "left_semi")
+            .dropDuplicates(["doc_id", "text_hash"])
+            .mapInArrow(_last_pieces(tokenizer_path, end_id, limit), f"_id {kind.simpleString()}, _of long, tail binary")
+        )
+        freed = freed.join(tails, same)
+
     # The room left in the pattern sequences, then sequences made of filler alone.
     room = placed.groupBy("sequence_id").agg((limit - F.max("end")).alias("room")).filter("room > 0")
     room = scratch.table(room, "room")
@@ -384,6 +441,8 @@ def pack(
             (F.col("tail_end") - F.col("length") + F.col("tokens_before")).cast("long").alias("from"),
         )
     )
+    if freed is not None:
+        fillers = fillers.unionByName(freed.select(*fillers.columns))
 
     def by_block(df: DataFrame, begin: str, size: str) -> DataFrame:
         ends = (F.col(begin) + F.col(size) - 1) / limit
