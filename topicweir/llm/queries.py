@@ -209,7 +209,7 @@ def _sql_crc(value: str, crc_table: str) -> str:
 
 SQL["op13_spelling_variants"] = f"""
 WITH RECURSIVE crc AS ({_SQL_CRC_TABLE}),
-run AS (SELECT doc_id, unnest(regexp_extract_all({_sql_lower("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+run AS (SELECT doc_id, unnest(regexp_extract_all({_sql_lower("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
 own AS (SELECT w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS k FROM run GROUP BY doc_id, w),
 h AS (SELECT w, n, {_sql_crc("k", "t")} AS h FROM own, crc),
 made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS word, n FROM h),
@@ -239,7 +239,7 @@ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
              CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
              unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
-             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM d),
+             regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body FROM d),
 f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, substr(role, 1, 1) AS c,
              lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM o),
