@@ -20,18 +20,48 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def worker_state(key: str, build):
-    """A value kept for the life of a Python worker, such as a loaded tokenizer.
+    """A value kept in a Python worker for its next tasks, such as a loaded tokenizer.
 
     Functions travel to the tasks by value, so their module globals are new in each task;
-    a module registered in the worker's own `sys.modules` is not.
+    a module registered in the worker's own `sys.modules` is not. Workers outlive a stage, so keys
+    are `owner:name` and only one owner's values are kept: the first use by another drops them.
     """
     home = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state"))
-    if key not in home.__dict__:
-        home.__dict__[key] = build()
-    return home.__dict__[key]
+    owner = key.split(":")[0]
+    held = home.__dict__.setdefault("held", {})
+    if any(k.split(":")[0] != owner for k in held):
+        held.clear()
+    if key not in held:
+        held[key] = build()
+    return held[key]
 
 
-def load_tokenizer(path: str):
+class Recent(dict):
+    """Values by key in two generations: when one has `size` entries it becomes the old one.
+
+    What is looked up again moves to the new generation, so frequent keys stay and no more than
+    twice `size` entries are held, none with a key longer than `LONGEST`.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+def load_tokenizer(path: str, owner: str):
     """The tokenizer file `path`, loaded once per worker, on one thread."""
 
     def build():
@@ -42,7 +72,7 @@ def load_tokenizer(path: str):
 
         return Tokenizer.from_file(path)
 
-    return worker_state(f"tokenizer:{path}", build)
+    return worker_state(f"{owner}:tokenizer:{path}", build)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -50,20 +80,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), computed once while it is held; emptied when it grows too large."""
+class WordHashes(Recent):
+    """64-bit hash of a word (bytes), computed once while it is held."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self, size: int = 100_000):
         import xxhash
 
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        super().__init__(xxhash.xxh3_64_intdigest, size)
 
-    def of(self, words: list[bytes], keep: int = 400_000):
+    def of(self, words: list[bytes]):
         import numpy as np
 
-        if len(self) > keep:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

@@ -19,13 +19,18 @@ class WaveletMatrix:
             self.levels.append((shift, words, before, int((~bit).sum())))
             values = np.concatenate([values[~bit], values[bit]])
 
+        # Where each symbol's places begin on the last level.
+        self.base = self._follow(np.arange(int(top) + 1), np.zeros(int(top) + 1, dtype=np.int64))
+
     def rank(self, symbols: np.ndarray, positions: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its position."""
-        at, base = positions.astype(np.int64), np.zeros(len(positions), dtype=np.int64)
+        return self._follow(symbols, positions) - self.base[symbols]
+
+    def _follow(self, symbols, at):
         for shift, words, before, zeros in self.levels:
-            one = (symbols >> shift & 1).astype(bool)
-            at, base = (np.where(one, zeros + ones, x - ones) for x, ones in ((y, self._ones(words, before, y)) for y in (at, base)))
-        return at - base
+            ones = self._ones(words, before, at)
+            at = np.where(symbols >> shift & 1, ones + zeros, at - ones)
+        return at
 
     @staticmethod
     def _ones(words, before, at):
@@ -58,7 +63,11 @@ class FMIndex:
         n = len(text)
         rank = text + len(ends)
         rank[ends] = np.arange(len(ends))
-        step = 1
+        step, bits = 1, int(rank.max(initial=0) + 1).bit_length()
+        if 3 * bits < 64:  # three symbols fit into one number
+            padded = np.r_[rank + 1, 0, 0]
+            rank = rank << 2 * bits | padded[1:-1] << bits | padded[2:]
+            step = 3
         while True:
             rank = np.unique(rank, return_inverse=True)[1]
             if rank.max(initial=-1) == n - 1 or step >= 2 * n:
@@ -71,13 +80,12 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals [low, high) of the rows of `patterns`, by backward search."""
-        low = np.zeros(len(patterns), dtype=np.int64)
-        high = np.full(len(patterns), len(self.text), dtype=np.int64)
+        n = len(patterns)
+        at = np.repeat(np.array([0, len(self.text)], dtype=np.int64), n)  # both ends in one pass
         for column in patterns.T[::-1]:
-            column = np.ascontiguousarray(column)
-            low = self.first[column] + self.bwt.rank(column, low)
-            high = self.first[column] + self.bwt.rank(column, high)
-        return low, high
+            column = np.tile(column, 2)
+            at = self.first[column] + self.bwt.rank(column, at)
+        return at[:n], at[n:]
 
     def least(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
         """The least of `values` (one per sequence) over the occurrences in each interval; intervals must be equal or apart."""

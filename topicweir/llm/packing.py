@@ -20,13 +20,13 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from topicweir.llm.common import load_tokenizer, text_rows, worker_state
+from topicweir.llm.common import Recent, load_tokenizer, text_rows, worker_state
 from topicweir.runtime import Scratch, literal_array
 
 LIMIT = 4096
 UNITS = 256
 FILLER = 16
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 _PIECES = (
     "doc_id {kind}, part int, doc_tokens long, start long, length long, ids_crc32 long, "
@@ -47,10 +47,13 @@ def _word_ids(path: str, end_id: int):
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     chunks in turn. A chunk of Latin letters, with or without one full stop or comma behind it,
     is one word for the tokenizer, in lower case; such words go straight to its merge model.
-    Caches only save time; they are emptied when full.
+    Caches only save time.
     """
-    tokenizer = load_tokenizer(path)
-    chunks_seen, words_seen = worker_state(f"chunk-ids:{path}", lambda: ({}, {}))
+    return worker_state(f"packing:ids:{path}:{end_id}", lambda: _build_word_ids(path, end_id))
+
+
+def _build_word_ids(path: str, end_id: int):
+    tokenizer = load_tokenizer(path, "packing")
     end = np.array([end_id], dtype="<u4").tobytes()
     merge = tokenizer.model.tokenize
     is_word = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
@@ -59,34 +62,22 @@ def _word_ids(path: str, end_id: int):
     def encoded(chunk: str) -> bytes:
         return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def word_ids(word: str) -> bytes:
+        written = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
+        return np.array([t.id for t in merge(written)], dtype="<u4").tobytes()
+
     marks = {m: encoded(m) for m in ",."} | {"": b""}
+    words = Recent(word_ids, CACHE_ENTRIES)
 
     def chunk_ids(chunk: str) -> bytes:
         mark = chunk[-1:] if chunk[-1:] in marks else ""
         word = chunk[: len(chunk) - len(mark)].lower()
-        if not is_word(word):
-            return encoded(chunk)
-        ids = words_seen.get(word)
-        if ids is None:
-            if len(words_seen) > CACHE_ENTRIES:
-                words_seen.clear()
-            written = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
-            ids = words_seen[word] = np.array([t.id for t in merge(written)], dtype="<u4").tobytes()
-        return ids + marks[mark]
+        return words[word] + marks[mark] if is_word(word) else encoded(chunk)
+
+    chunks = Recent(chunk_ids, CACHE_ENTRIES)
 
     def ids_of(text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        found = list(map(chunks_seen.get, chunks))
-        if None in found:
-            if len(chunks_seen) > CACHE_ENTRIES:
-                chunks_seen.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    ids = chunks_seen.get(chunks[i])
-                    if ids is None:
-                        ids = chunks_seen[chunks[i]] = chunk_ids(chunks[i])
-                    found[i] = ids
-        return b"".join(found) + end
+        return b"".join(map(chunks.__getitem__, text.replace("\n", " ").split(" "))) + end
 
     return ids_of
 

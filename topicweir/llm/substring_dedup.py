@@ -40,8 +40,33 @@ def fingerprints(words, window: int, gram: int):
     return least
 
 
-def _hashes(text: str):
-    return worker_state("word-hashes", WordHashes).of(split_words(text))
+def _flat(batch, window: int, gram: int):
+    """Slices of a batch's texts: (first row, word hashes of all, row of each window, its place, fingerprint).
+
+    Windows that reach into the next text are left out.
+    """
+    import numpy as np
+
+    hashes = worker_state("word-hashes", WordHashes)
+
+    def flat(first, parts):
+        sizes = np.array(list(map(len, parts)))
+        words = np.concatenate(parts)
+        least = fingerprints(words, window, gram)
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(parts)), sizes)[: len(least)]
+        at = np.flatnonzero(np.arange(len(least)) + window <= ends[row])
+        return first, words, row[at], at, least[at]
+
+    first, held, size = 0, [], 0
+    for i, text in enumerate(batch.column("text")):
+        held.append(hashes.of(split_words(text.as_py())))
+        size += len(held[-1])
+        if size > 500_000:
+            yield flat(first, held)
+            first, held, size = i + 1, [], 0
+    if held:
+        yield flat(first, held)
 
 
 def _prints(window: int, gram: int):
@@ -50,10 +75,11 @@ def _prints(window: int, gram: int):
         import pyarrow as pa
 
         for batch in batches:
-            own = [np.unique(fingerprints(_hashes(t), window, gram)) for t in batch.column("text").to_pylist()]
-            source = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
-            flat = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("doc_id").take(source)], names=["print", "doc_id"])
+            for first, _, row, _, least in _flat(batch, window, gram):
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+                source = pa.array(first + row[new], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(least[new]), batch.column("doc_id").take(source)], names=["print", "doc_id"])
 
     return run
 
@@ -95,41 +121,42 @@ def _neighbourhoods(window: int, gram: int, shards: int):
         import numpy as np
         import pyarrow as pa
 
+        def listed(column, first, rows):
+            """Marks of the fingerprints in each row's list; a rare wrong mark only adds a neighbourhood."""
+            lists = column.slice(first, rows)
+            return marks(np.repeat(np.arange(rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy())
+
+        def marks(row, prints):
+            return prints.view(np.uint64) ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
         for batch in batches:
-            source, shard, starts, codes, singles = [], [], [], [], []
-            lists = [batch.column(n) for n in ("shared", "hot")]
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                words = _hashes(text)
-                least = fingerprints(words, window, gram)
-                if not len(least):
+            for first, words, row, at, least in _flat(batch, window, gram):
+                if not len(row):
                     continue
-                shared, hot = (np.array(c[row].as_py() or [], dtype=np.int64) for c in lists)
-                raw = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :CODE]
-                good = np.isin(least, shared)
-                cuts = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (good[1:] != good[:-1])])
-                for begin, end in zip(cuts, np.r_[cuts[1:], len(least)]):
-                    if good[begin]:
-                        source.append(row)
-                        shard.append(int(least[begin]) % shards)
-                        starts.append(int(begin))
-                        codes.append(raw[begin : end + window - 1].tobytes())
-                        singles.append(None)
-                if len(hot):
-                    at = np.flatnonzero(np.isin(least, hot))
-                    whole = sequence_hashes(words, window).view(np.int64)
-                    source += [row] * len(at)
-                    shard += [-1] * len(at)
-                    starts += at.tolist()
-                    codes += [None] * len(at)
-                    singles += whole[at].tolist()
-            taken = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(taken), batch.column("_hash").take(taken), pa.array(shard, pa.int32()),
-                    pa.array(starts, pa.int32()), pa.array(codes, pa.binary()), pa.array(singles, pa.int64()),
-                ],
-                names=["doc_id", "_hash", "shard", "start", "codes", "single"],
-            )
+                rows = int(row[-1]) + 1
+                own = marks(row, least)
+                shared, hot = (np.isin(own, listed(batch.column(n), first, rows)) for n in ("shared", "hot"))
+                raw = words.view(np.uint8).reshape(-1, 8)[:, :CODE]
+                place = at - at[np.searchsorted(row, row)]  # in its text
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (least[1:] != least[:-1]) | (shared[1:] != shared[:-1]) | (row[1:] != row[:-1])
+                begins = np.flatnonzero(new)
+                ends = np.r_[begins[1:], len(row)]
+                begins, ends = begins[shared[begins]], ends[shared[begins]]
+                codes = [raw[a : b + window - 1].tobytes() for a, b in zip(at[begins], at[ends - 1] + 1)]
+                lone = np.flatnonzero(hot)
+                whole = sequence_hashes(words, window).view(np.int64)[at[lone]]
+                taken = pa.array(first + row[np.r_[begins, lone]], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(taken), batch.column("_hash").take(taken),
+                        pa.array(np.r_[least[begins] % shards, np.full(len(lone), -1)].astype(np.int32)),
+                        pa.array(place[np.r_[begins, lone]].astype(np.int32)),
+                        pa.array([*codes, *[None] * len(lone)], pa.binary()),
+                        pa.array([*[None] * len(begins), *whole.tolist()], pa.int64()),
+                    ],
+                    names=["doc_id", "_hash", "shard", "start", "codes", "single"],
+                )
 
     return run
 
@@ -159,9 +186,10 @@ def _indexed(window: int):
         first = np.repeat(ends - sizes, counts)
         inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         patterns = (symbols.astype(np.int64) + 1)[(first + inside)[:, None] + np.arange(window)]
+        patterns, of = _distinct_rows(patterns)
         least = np.concatenate(
             [index.least(*index.search(p), earliest) for p in np.array_split(patterns, max(1, len(patterns) // 100_000))]
-        )
+        )[of]
         begin = np.cumsum(counts) - counts
         n = counts[kind]
         row = np.repeat(np.arange(len(kind)), n)
@@ -183,6 +211,21 @@ def _distinct(codes: list[bytes]):
     return list(number), kind
 
 
+def _distinct_rows(rows):
+    """The distinct rows of a matrix of whole numbers, in some order, and the place of each row among them."""
+    import numpy as np
+
+    mixed = np.zeros(len(rows), dtype=np.uint64)
+    for column in rows.T:
+        mixed ^= column.astype(np.uint64)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    _, first, of = np.unique(mixed, return_index=True, return_inverse=True)
+    if (rows[first][of] != rows).any():  # two rows with one mix
+        return rows, np.arange(len(rows))
+    return rows[first], of
+
+
 def _later(batches):
     """Rows sorted by window and document -> those whose document is not the window's first."""
     import numpy as np

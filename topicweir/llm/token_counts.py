@@ -28,7 +28,7 @@ def _pieces(path: str):
     def run(batches):
         import pyarrow as pa
 
-        tokenizer = load_tokenizer(path)
+        tokenizer = load_tokenizer(path, "token-counts")
         for batch in batches:
             encoded = tokenizer.encode_batch(batch.column("piece").to_pylist(), add_special_tokens=False)
             counts = pa.array([len(e.ids) for e in encoded], pa.int64())

@@ -12,6 +12,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from topicweir.llm.common import Recent
 from topicweir.runtime import Scratch
 
 MAX_ROWS = 12_000
@@ -178,22 +179,16 @@ def _score(weights: dict[str, float], intercept: float):
         import pyarrow as pa
 
         get = weights.get
-        known: dict[str, float] = {}
+        known = Recent(lambda word: sum(get(f, 0.0) for f in features_of(word)), 100_000)
         for batch in batches:
             margins = []
-            if len(known) > 500_000:
-                known.clear()
-            for text in batch.column("text").to_pylist():
-                words = words_of(text or "")
-                for w in words:
-                    if w not in known:
-                        known[w] = sum(get(f, 0.0) for f in features_of(w))
+            for text in batch.column("text"):
+                words = words_of(text.as_py() or "")
                 # Summed in one order, so that equal texts have equal scores.
                 margins.append(intercept + float(np.sum(np.sort(np.fromiter(map(known.__getitem__, words), float, len(words))))))
             scores = 1 / (1 + np.exp(-np.clip(np.array(margins, dtype=float), -40, 40)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"]
-            )
+            names = [n for n in batch.schema.names if n != "_score"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(scores, pa.float64())], names=[*names, "_score"])
 
     return run
 
@@ -219,12 +214,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 def score(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
     """`docs` with `_score` from 0 to 1, learnt from `labels` (doc_id, toxic) of `training_docs`.
 
-    All columns of `docs` stay; `doc_id` and `text` are needed. Null texts score as empty ones.
+    All columns of `docs` stay but one named `_score`, which is replaced; `doc_id` and `text` are needed. Null texts score as empty ones.
     Repeated rows score alike; of several labels of one id the toxic one counts; ids without label
     and null labels teach nothing.
     """
     weights, intercept = train(labelled_rows(training_docs if training_docs is not None else docs, labels, max_rows))
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
+    schema = docs.drop("_score").withColumn("_score", F.lit(0.0)).schema
     return docs.mapInArrow(_score(weights, intercept), schema)
 
 
