@@ -1,6 +1,7 @@
 """Session helpers: partition spreading, shared scratch folder, small literal tables."""
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -19,14 +20,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys)
 
 
+# Folders made for applications that run on one machine and name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by `spark.checkpoint.dir`."""
+    """The folder all executors can reach, as named by `spark.checkpoint.dir`.
+
+    Where the setting is missing, a temporary folder per application on a local master, else an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="topicweir-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="topicweir-")
+        folder = _LOCAL_FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 
