@@ -1,6 +1,6 @@
 """Text cleaning, token extraction and similarity as column expressions."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -13,8 +13,11 @@ from topicweir.functions.fixed_values import (
     STOPWORDS_ENGLISH,
     WORD_CLASS,
 )
+from topicweir.functions.segmentation import Lattice, pairs
 from topicweir.runtime import bind
 
+# Dictionary terms of the segmentation, alone or with their frequencies.
+Terms = Sequence[str] | Mapping[str, int]
 WORD_TOKEN = f"([{WORD_CLASS}]+)"
 LONG_WORD_TOKEN = f"([{WORD_CLASS}]{{2,}})"
 
@@ -67,34 +70,21 @@ def process_english(words: Column) -> Column:
 
 def segment_chinese(
     col: Column,
-    terms: Sequence[str] = (),
+    terms: Terms = (),
     stop: Sequence[str] = tuple(STOPWORDS),
     chars: str = HAN_CLASS,
 ) -> Column:
-    """Overlapping character pairs of every run, then the dictionary terms found in the text.
+    """Words of every run: dictionary terms on the best path, overlapping pairs of letters elsewhere.
 
-    Terms of two characters are already pairs, so only longer ones are added.
+    Every term counts as often as it stands, and no pair reaches into a term. `terms` may have
+    frequencies; without terms a run is all pairs.
     """
-
-    def pairs(run: Column) -> Column:
-        return bind(
-            F.split(run, ""),
-            lambda letters: F.transform(
-                F.sequence(F.lit(1), F.size(letters) - 1),
-                lambda i: F.concat(F.element_at(letters, i), F.element_at(letters, i + 1)),
-            ),
-        )
-
     runs = F.filter(script_runs(col, chars), lambda r: F.length(r) >= 2)
-    words = F.flatten(F.transform(runs, pairs))
-    longer = [t for t in dict.fromkeys(terms) if len(t) > 2]
-    if longer:
-        hits = F.filter(F.array(*[F.lit(t) for t in longer]), lambda t: F.contains(col, t))
-        words = F.concat(words, hits)
+    words = F.flatten(F.transform(runs, Lattice.of(terms).words if terms else pairs))
     return F.filter(words, lambda w: ~w.isin(list(stop)))
 
 
-def _tokens(clean: Column, keep_english: bool, terms: Sequence[str], stop: Sequence[str]) -> Column:
+def _tokens(clean: Column, keep_english: bool, terms: Terms, stop: Sequence[str]) -> Column:
     parts = [segment_chinese(clean, terms, stop)]
     if keep_english:
         parts.append(process_english(latin_words(clean)))
@@ -104,7 +94,7 @@ def _tokens(clean: Column, keep_english: bool, terms: Sequence[str], stop: Seque
 def process_text(
     col: Column,
     keep_english: bool = True,
-    terms: Sequence[str] = (),
+    terms: Terms = (),
     stop: Sequence[str] = tuple(STOPWORDS),
 ) -> Column:
     """Clean, tokenize both scripts, join; the cleaned text when no token survives."""

@@ -8,7 +8,7 @@ from topicweir.functions.fixed_values import HAN_CLASS, STOPWORDS, SUBJECT_DESCR
 from topicweir.functions.matching import own_class_count
 from topicweir.functions.text import processed_tokens, whitespace_words, word_tokens
 from topicweir.operators.dataset import subject_table
-from topicweir.runtime import literal_table, settle
+from topicweir.runtime import literal_table, number_within, settle
 from topicweir.sources.dictionary import KeywordDictionary
 
 MERGED_PER_SUBJECT = 50
@@ -60,13 +60,13 @@ def doc_keywords(
 def class_keywords(
     df: DataFrame,
     subjects: Sequence[str],
-    n: int = 30,
+    n: int | None = 30,
     label: str = "label",
     text: str = "text",
     stop: Sequence[str] = tuple(STOPWORDS),
     max_terms: int | None = None,
 ) -> DataFrame:
-    """The `n` most frequent terms per class as a dictionary table with counts.
+    """The `n` most frequent terms per class as a dictionary table with counts; all terms for `n` None.
 
     `max_terms` puts a further bound on every class, for callers that keep a fixed vocabulary size.
 
@@ -78,8 +78,12 @@ def class_keywords(
     counts = terms.filter(~F.col("keyword").isin(list(stop))).groupBy(label, "keyword").agg(
         F.count(F.lit(1)).alias("n")
     )
-    order = Window.partitionBy(label).orderBy(F.col("n").desc(), "keyword")
-    ranked = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= (n if max_terms is None else min(n, max_terms)))
+    bounds = [b for b in (n, max_terms) if b is not None]
+    if bounds:
+        order = Window.partitionBy(label).orderBy(F.col("n").desc(), "keyword")
+        ranked = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= min(bounds))
+    else:  # a class's whole vocabulary need not fit one task
+        ranked = number_within(counts, label, F.col("n").desc(), F.col("keyword"), name="_rn")
     table = subject_table(df.sparkSession, subjects, "subject")
     return ranked.withColumnRenamed(label, "subject").join(F.broadcast(table), "subject").select(
         "subject",

@@ -8,7 +8,8 @@ from topicweir.functions.fixed_values import (
     STOPWORDS_ENGLISH,
     WORD_CLASS,
 )
-from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, MIXED_CASE, SUBJECTS, SUBJECTS_AND_ABSENT, WORDS
+from topicweir.functions.segmentation import Lattice
+from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SUBJECTS, SUBJECTS_AND_ABSENT, WORDS
 
 
 def quoted(value: str) -> str:
@@ -142,19 +143,40 @@ EVAL = f"WITH {SCORED}, e AS (SELECT label, subject AS prediction FROM s), {clas
 STOP_SQL = sql_list(STOPWORDS)
 
 
-def class_terms(relation: str, label: str, text: str, n: int, name: str) -> str:
+def class_terms(relation: str, label: str, text: str, n: int | None, name: str) -> str:
     return (
         f"{name} AS (SELECT subject, o.ord AS subject_ord, (rn - 1)::INT AS kw_ord, keyword, n FROM ("
         f"SELECT subject, keyword, n, row_number() OVER (PARTITION BY subject ORDER BY n DESC, keyword) AS rn FROM ("
         f"SELECT {label} AS subject, keyword, count(*) AS n FROM (SELECT {label}, "
         f"unnest(regexp_extract_all(lower({text}), '([{WORD_CLASS}]+)', 1)) AS keyword FROM {relation}) "
         f"WHERE NOT list_contains({STOP_SQL}, keyword) GROUP BY ALL)) "
-        f"JOIN (SELECT * FROM ({order_table(SUBJECTS)}) t(subject, ord)) o USING (subject) WHERE rn <= {n})"
+        f"JOIN (SELECT * FROM ({order_table(SUBJECTS)}) t(subject, ord)) o USING (subject) WHERE {'true' if n is None else f'rn <= {n}'})"
     )
 
 
 DOC_DICT_30 = class_terms("documents", "lang", "text", 30, "dict")
-DOC_DICT = class_terms("documents", "lang", "text", 1000, "dict")
+DOC_DICT = class_terms("documents", "lang", "text", None, "dict")
+
+
+def lattice_terms(terms) -> str:
+    """The scored terms of a lattice as a list of structs."""
+    rows = [f"{{'term': {quoted(t)}, 'score': {s}::BIGINT, 'size': {len(t)}}}" for b in Lattice.of(terms).buckets for t, s in b]
+    return "[" + ", ".join(rows) + "]"
+
+
+# Best rests of a run from its end on; `cut(run, ws)` has the words of every distinct run.
+_SINGLE = f"{{'score': {Lattice.of(PARTICLES).letter}::BIGINT + acc[1].score, 'size': 1, 'words': substr(run, i, 1) || acc[1].words}}"
+_ARC = "{'score': t.score + acc[t.size].score, 'size': t.size, 'words': ' +' || t.term || ' ' || acc[t.size].words}"
+LATTICE_WALK = (
+    f"tm AS (SELECT {lattice_terms(PARTICLES)} AS terms), "
+    f"rs AS (SELECT doc_id AS id, regexp_extract_all({clean('text')}, '([{LETTERS}]+)', 1) AS runs FROM documents), "
+    "run AS (SELECT * FROM (SELECT id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM rs) WHERE length(run) >= 2), "
+    "walk(run, i, acc) AS (SELECT DISTINCT run, length(run), [{'score': 0::BIGINT, 'size': 0, 'words': ''}] FROM run UNION ALL "
+    f"SELECT run, i - 1, list_prepend(list_sort(list_prepend({_SINGLE}, list_transform(list_filter(terms, lambda t: starts_with(substr(run, i), t.term)), "
+    f"lambda t: {_ARC})), 'DESC')[1], acc) FROM walk, tm WHERE i > 0), "
+    "cut AS (SELECT run, flatten(list_transform(list_filter(string_split(acc[1].words, ' '), lambda p: p <> ''), lambda p: "
+    "CASE WHEN p[1] = '+' THEN [substr(p, 2)] ELSE list_transform(range(1, length(p)), lambda j: substr(p, j, 2)) END)) AS ws FROM walk WHERE i = 0)"
+)
 
 FOLDER = "list_extract(string_split(url, '/'), -2)"
 PAGES = f"pg AS (SELECT page_id, url, html, {FOLDER} AS label FROM pages)"
@@ -362,6 +384,11 @@ SQL: dict[str, str] = {
     "latin_words": f"SELECT doc_id, {joined('regexp_extract_all(text, ' + quoted('([a-zA-Z]{2,})') + ', 1)')} AS words FROM documents",
     "english_filter": f"SELECT doc_id, {joined(english(clean('text')))} AS words FROM documents",
     "han_segment": f"SELECT doc_id, {joined(pairs(clean('text'), ACCENTS))} AS pairs FROM documents",
+    "han_lattice": (
+        f"WITH RECURSIVE {LATTICE_WALK}, found AS (SELECT id, pos, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM run JOIN cut USING (run)) "
+        f"SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY pos, k) FILTER (NOT list_contains({STOP_SQL}, w)), '') AS words "
+        "FROM documents LEFT JOIN found ON id = doc_id GROUP BY doc_id"
+    ),
     "process_text": (
         f"WITH {processed('documents', 'doc_id', 'text', 'pt')} SELECT pt.id AS doc_id, pt.text, "
         f"(CASE WHEN len({pairs('pt_c.c', HAN_CLASS)}) > 0 THEN length({joined(pairs('pt_c.c', HAN_CLASS))}) ELSE length(pt_c.c) END)::INT "
@@ -554,7 +581,7 @@ SQL: dict[str, str] = {
     "class_keywords": f"WITH {DOC_DICT_30} SELECT subject, kw_ord, keyword, n FROM dict",
     "merge_dict": (
         f"WITH {DOC_DICT}, {PAGES}, pt AS (SELECT label, {runs('html', 'p')} AS text FROM pg WHERE {is_in('label', SUBJECTS)}), "
-        f"{class_terms('pt', 'label', 'text', 1000, 'fresh')}, base(subject, ord, kw_ord, keyword) AS ({values_table(WORDS)}), "
+        f"{class_terms('pt', 'label', 'text', None, 'fresh')}, base(subject, ord, kw_ord, keyword) AS ({values_table(WORDS)}), "
         "al AS (SELECT subject, keyword FROM dict UNION SELECT subject, keyword FROM fresh), "
         "fl AS (SELECT subject, keyword, EXISTS (SELECT 1 FROM base b WHERE b.subject = al.subject AND b.keyword = al.keyword) AS is_base FROM al) "
         "SELECT subject, (rn - 1)::INT AS kw_ord, keyword FROM (SELECT subject, keyword, row_number() OVER (PARTITION BY subject "

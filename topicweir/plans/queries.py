@@ -33,6 +33,13 @@ WORDS = KeywordDictionary.of(
 MIXED_CASE = KeywordDictionary.of({s: [*ws, ws[0].upper(), ws[1]] for s, ws in WORDS.entries})
 DESCRIPTIONS = {"en": "english prose", "fr": "prose française", "de": "deutsche prosa"}
 ACCENTS = r"\x{e0}-\x{ff}"
+LETTERS = "a-z" + ACCENTS
+# Terms with frequencies that overlap and contain one another.
+PARTICLES = {
+    "the": 900, "th": 300, "her": 200, "er": 700, "ere": 40, "tion": 120, "ion": 60, "ing": 250, "in": 500,
+    "ment": 90, "men": 70, "ent": 110, "en": 800, "sch": 150, "ein": 220, "keit": 30, "eaux": 10, "que": 260,
+    "ción": 25, "ado": 45, "ad": 90, "do": 95, "ont": 33, "on": 410, "nt": 35, "ères": 5, "re": 300,
+}
 CUSTOM_STOP = ["les", "que", "und", "der", "los"]
 FLOOR = 0.85  # of held-out accuracy and agreement
 VOCABULARY = dict(ngram_max=4, min_df=2, max_df=0.9, max_features=1500)
@@ -102,7 +109,7 @@ def with_model(df: DataFrame) -> DataFrame:
     return classify.model_classify(shares.drop("_n", "_total"), SUBJECTS)
 
 
-def document_dictionary(spark: SparkSession, sf: str, n: int) -> DataFrame:
+def document_dictionary(spark: SparkSession, sf: str, n: int | None = None) -> DataFrame:
     return keywords.class_keywords(documents(spark, sf, "text", "label"), SUBJECTS, n).drop("n")
 
 
@@ -291,6 +298,13 @@ def han_segment(spark, sf):
     return documents(spark, sf, "text").select("doc_id", F.array_join(pairs, " ").alias("pairs"))
 
 
+@query
+def han_lattice(spark, sf):
+    """Words by the best path; letters stand in for Han as the tables have none."""
+    words = tx.segment_chinese(tx.basic_clean(F.col("text")), PARTICLES, chars=LETTERS)
+    return documents(spark, sf, "text").select("doc_id", F.array_join(words, " ").alias("words"))
+
+
 @query
 def process_text(spark, sf):
     return documents(spark, sf, "text").select(
@@ -302,7 +316,7 @@ def process_text(spark, sf):
 
 @query
 def segment_dict(spark, sf):
-    return keywords.segment_terms(document_dictionary(spark, sf, 1000)).select("subject", "kw_ord", "keyword")
+    return keywords.segment_terms(document_dictionary(spark, sf)).select("subject", "kw_ord", "keyword")
 
 
 @query
@@ -708,8 +722,8 @@ def class_keywords(spark, sf):
 
 @query
 def merge_dict(spark, sf):
-    new = keywords.class_keywords(page_texts(spark, sf), SUBJECTS, 1000)
-    old = document_dictionary(spark, sf, 1000)
+    new = keywords.class_keywords(page_texts(spark, sf), SUBJECTS, None)
+    old = document_dictionary(spark, sf)
     return keywords.merge_dictionaries(old, new, WORDS.to_frame(spark), SUBJECTS).drop("subject_ord")
 
 
@@ -721,19 +735,19 @@ def keyword_hit_rate(spark, sf):
 
 @query
 def dict_stats(spark, sf):
-    out = keywords.dictionary_stats(document_dictionary(spark, sf, 1000))
+    out = keywords.dictionary_stats(document_dictionary(spark, sf))
     return rounded(out.withColumn("examples", F.array_join("examples", ",")), "avg_length")
 
 
 @query
 def ambiguous_keywords(spark, sf):
-    out = keywords.ambiguous_keywords(document_dictionary(spark, sf, 1000))
+    out = keywords.ambiguous_keywords(document_dictionary(spark, sf))
     return out.withColumn("subjects", F.array_join("subjects", ","))
 
 
 @query
 def dict_export(spark, sf):
-    return keywords.export_described(document_dictionary(spark, sf, 1000), DESCRIPTIONS)
+    return keywords.export_described(document_dictionary(spark, sf), DESCRIPTIONS)
 
 
 @query

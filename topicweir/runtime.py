@@ -68,6 +68,24 @@ def per_class_window():
     return Window.partitionBy(F.lit(0))
 
 
+def number_within(df: DataFrame, group: str, *order: Column, name: str = "rn") -> DataFrame:
+    """`df` with the place (from 1) of each row among those of its group, in `order`.
+
+    Unlike a window this never meets a group in one task: rows are range-partitioned and numbered
+    where they lie, and each group's places go on from partition to partition. The counts per
+    group and partition that this takes are as many as groups and partitions together.
+    """
+    place = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order).withColumn("_place", place)
+    rows = write_once(rows, "numbered")
+    part = F.shiftright("_place", 33)
+    runs = rows.groupBy(group, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col(group).alias("_of"), "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = rows.join(runs, F.col(group).eqNullSafe(F.col("_of")) & (part == F.col("_part")))
+    return joined.select(*df.columns, (F.col("_place") - F.col("_first") + F.col("_before") + 1).cast("int").alias(name))
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body` as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
