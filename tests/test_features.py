@@ -27,10 +27,11 @@ def brute_vocabulary(texts, top, n_max=4, min_df=2, max_df=0.9):
 
 
 @pytest.mark.parametrize("top", [5, 40, 10_000])
-@pytest.mark.parametrize("listed", [20_000, 3], ids=["pruned", "unpruned"])
+@pytest.mark.parametrize("buckets", [1 << 12, 64], ids=["roomy", "crowded"])
 @pytest.mark.parametrize("n_max", [1, 2, 4])
-def test_vocabulary_equals_brute_force(spark, monkeypatch, top, listed, n_max):
-    monkeypatch.setattr(features, "MAX_LISTED_TERMS", listed)
+def test_vocabulary_equals_brute_force(spark, monkeypatch, top, buckets, n_max):
+    monkeypatch.setattr(features, "LEAST_BUCKETS", buckets)
+    monkeypatch.setattr(features, "BUCKETS_PER_TERM", 1)
     rng = random.Random(top)
     # one phrase is in most documents, a rare one repeats inside a single document
     texts = [
@@ -134,3 +135,46 @@ def test_feature_selection_is_part_of_the_model(spark):
     assert len(model.names) == 4 and "text_length" in model.names
     full = features.FeatureModel(model.vocabulary, WORDS).transform(df).orderBy("doc_id").first().features.toArray()
     assert model.transform(df).orderBy("doc_id").first().features.toArray() == pytest.approx(full[list(model.selected)])
+
+
+def test_counting_filter_bounds_what_is_counted(spark, monkeypatch):
+    """With many features and no document limit few more n-grams are counted than stay."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else f"r{rng.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counted = []
+    inner = features._term_counts
+
+    def spy(rows, grams):
+        out = inner(rows, grams)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(features, "_term_counts", spy)
+    got = features.fit_vocabulary(df, min_df=1, max_df=1.0, max_features=1000)
+    terms, tf, _ = brute_vocabulary(texts, 1000, 4, 1, 1.0)
+    assert list(got.terms) == terms
+    assert sum(counted) <= 12 * 1000 < len(tf) / 4
+
+
+def test_transform_hashes_as_the_jvm_does(spark):
+    texts = ["straße été 東京都 naïve straße été", "été 東京都 naïve été 東京都"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = features.fit_vocabulary(df, min_df=1, max_df=1.0)
+    rows = features.vector_entries(features.tfidf_transform(df, vocabulary), "tfidf", vocabulary.terms, ["text"]).collect()
+    toks = [t.split() for t in texts]
+    grams = [{" ".join(t[i : i + n]) for n in range(1, 5) for i in range(len(t) - n + 1)} for t in toks]
+    assert {(r.text, r.term) for r in rows} == {(t, g) for t, gs in zip(texts, grams) for g in gs}
+
+
+def test_entries_and_variance_of_sparse_vectors(spark):
+    rows = [(0, Vectors.sparse(5, {1: 2.0, 3: 0.0})), (1, Vectors.dense([0.0, 4.0, 0.0, 0.0, 1.0])), (2, Vectors.sparse(5, {}))]
+    df = spark.createDataFrame(rows, ["i", "features"]).repartition(2)
+    got = df.select("i", features.F.inline(features.entries("features"))).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 2.0), (1, 1, 4.0), (1, 4, 1.0)]
+    x = np.array([r[1].toArray() for r in rows])
+    top = features.variance_topk(df, 5).orderBy("rank").collect()
+    assert [r.idx for r in top] == [1, 4, 0, 2, 3]
+    assert [r.variance for r in top] == pytest.approx(list(x.var(axis=0)[[1, 4, 0, 2, 3]]))
+    assert features.variance_topk(df.limit(0), 3).count() == 0

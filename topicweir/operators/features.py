@@ -1,16 +1,15 @@
 """Features of a text: n-gram TF-IDF, statistics, keyword counts, attached embeddings."""
 
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark import StorageLevel
+import xxhash
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
-    NGram,
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
@@ -19,7 +18,6 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from topicweir.config import TrainSettings
@@ -27,7 +25,7 @@ from topicweir.functions.fixed_values import HAN_CLASS, NOT_WORD_OR_SPACE
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import align_width
 from topicweir.functions.text import LONG_WORD_TOKEN, process_text, whitespace_words
-from topicweir.runtime import literal_array, literal_table, per_class_window, settle, write_once
+from topicweir.runtime import Scratch, literal_array, literal_table, per_class_window, settle, write_once
 from topicweir.sources.dictionary import KeywordDictionary
 
 STAT_NAMES = [
@@ -43,9 +41,11 @@ STAT_NAMES = [
     "digit_ratio",
 ]
 
-# Terms that may be listed inside the plan when n-grams are pruned; beyond that the n-grams
-# are counted unpruned, with the same result.
-MAX_LISTED_TERMS = 20_000
+# Buckets of the counting filter for each n-gram length, per term of the vocabulary. The share that
+# the last kept term has of all n-grams hardly depends on the size of the corpus, so a filter of
+# this size keeps the rest of a bucket small beside it at every size.
+BUCKETS_PER_TERM = 128
+LEAST_BUCKETS = 1 << 12
 
 
 # --- vocabulary ------------------------------------------------------------------------
@@ -89,55 +89,41 @@ def _term_counts(df: DataFrame, grams: str) -> DataFrame:
     )
 
 
-def _leading(counts: DataFrame, in_range: Column, max_features: int) -> DataFrame:
-    return counts.filter(in_range).orderBy(F.col("tf").desc(), "term").limit(max_features)
+def _power_of_two(n: int) -> int:
+    return max(LEAST_BUCKETS, 1 << (max(1, n) - 1).bit_length())
 
 
-def _listed(counts: DataFrame, so_far: DataFrame, in_range: Column, min_df: int, max_features: int) -> list[str] | None:
-    """Terms of `counts` that a longer n-gram in the vocabulary may contain; None if too many.
-
-    The count of the last of the leading terms so far is a lower bound for the whole list.
-    """
-    bound, kept = _leading(so_far, in_range, max_features).agg(F.min("tf"), F.count(F.lit(1))).first()
-    if kept < max_features:
-        bound = 1
-    useful = counts.filter((F.col("tf") >= bound) & (F.col("df") >= min_df)).select("term")
-    rows = useful.limit(MAX_LISTED_TERMS + 1).collect()
-    return [r.term for r in rows] if len(rows) <= MAX_LISTED_TERMS else None
-
-
-def _is_listed(column: str, terms: list[str]) -> Column:
-    """Per element whether it is one of the terms. They hold word characters and spaces only,
-    so they can be quoted as they are; one SQL list is built far quicker than a column each."""
-    quoted = ", ".join(f"'{t}'" for t in terms)
-    return F.expr(f"transform({column}, t -> coalesce(t IN ({quoted}), false))")
+def _starts(size: int) -> str:
+    """SQL: the tokens at which an n-gram of `size` begins."""
+    return f"slice(_n1, 1, greatest(size(_n1) - {size - 1}, 0))"
 
 
-def _joined(size: int, known: str | None, part: int) -> Column:
-    """Per token position the n-gram starting there, null unless all its `part`-grams are known."""
+def _bucket(size: int, buckets: int) -> str:
+    """SQL: the bucket of the n-gram that begins with token t at place i."""
+    return f"pmod(xxhash64({', '.join(['t', *[f'get(_n1, i + {k})' for k in range(1, size)]])}), {buckets})"
 
-    def gram(token: Column, at: Column) -> Column:
-        words = F.concat_ws(" ", token, *[F.get("_n1", at + k) for k in range(1, size)])
-        inside = at + (size - 1) < F.size("_n1")
-        if known is not None:
-            inside = reduce(lambda x, y: x & y, [F.get(known, at + k) for k in range(size - part + 1)])
-        return F.when(inside, words)
 
-    return F.transform("_n1", gram)
+def _bucket_of(term: str, buckets: int) -> int:
+    """The same for a term on the driver: each token's hash seeds the next one's."""
+    seed = 42
+    for token in term.split(" "):
+        seed = xxhash.xxh64_intdigest(token.encode(), seed)
+    return (seed - (seed >> 63 << 64)) % buckets
 
 
-def _grams(tokens: DataFrame, sizes: range, singles: list[str] | None, pairs: list[str] | None) -> DataFrame:
-    """N-grams of the given sizes, one array per row; parts that are not listed rule a gram out."""
-    known, part = None, 1
-    if singles is not None:
-        known = "_k1"
-        tokens = tokens.withColumn(known, _is_listed("_n1", singles))
-    if pairs is not None:
-        tokens = tokens.withColumn("_n2", _joined(2, known, part))
-        known, part = "_k2", 2
-        tokens = tokens.withColumn(known, _is_listed("_n2", pairs))
-    every = F.concat(*[_joined(n, known, part) for n in sizes])
-    return tokens.select(F.filter(every, lambda g: g.isNotNull()).alias("_grams"))
+def _grams_in(marked: dict[int, Iterable[int]], buckets: int) -> str:
+    """SQL: an array of the n-grams of a row whose bucket is marked, per length; all others are never written out."""
+    parts = []
+    for size, members in marked.items():
+        words = [0] * (buckets // 64)
+        for b in members:
+            words[b >> 6] |= 1 << (b & 63)
+        signed = json.dumps([w - (w >> 63 << 64) for w in words], separators=(",", ":"))
+        bits = f"get(from_json('{signed}', 'array<bigint>'), cast(shiftright(b, 6) AS int))"
+        known = f"exists(array({_bucket(size, buckets)}), b -> {bits} & shiftleft(1L, cast(b & 63 AS int)) <> 0)"
+        gram = f"concat_ws(' ', {', '.join(['t', *[f'get(_n1, i + {k})' for k in range(1, size)]])})"
+        parts.append(f"filter(transform({_starts(size)}, (t, i) -> CASE WHEN {known} THEN {gram} END), g -> g IS NOT NULL)")
+    return f"concat({', '.join(parts)})"
 
 
 def fit_vocabulary(
@@ -150,32 +136,35 @@ def fit_vocabulary(
 ) -> Vocabulary:
     """The `max_features` most frequent word 1..n-grams within the document-count limits.
 
-    Ties go to the smaller term. An n-gram occurs at most as often, and in at most as many
-    documents, as any part of it, so single words are counted first, then the pairs made of
-    words frequent enough to matter, then the longer n-grams made of such pairs. What is left
-    out could not be in the result; the counts of all others are exact. Without this nearly
-    every long n-gram is its own key and the shuffle is several times the text.
+    Ties go to the smaller term. Nearly every long n-gram occurs once, so counting them all by
+    their words would shuffle several times the text. Instead all are counted by hash first, in a
+    table of fixed size; a bucket's count is no less than that of any n-gram in it. Then only
+    n-grams in buckets above a bound are counted by their words. If `max_features` of them reach
+    the bound, no other can be among the result; else the bound is halved. Counts are exact.
     """
-    tokens = settle(df.select(gram_tokens(F.col(text)).alias("_n1")), "_n1")
-    n_docs = df.count()
-    in_range = (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)
-    counts = level = _term_counts(tokens, "_n1").persist(StorageLevel.MEMORY_AND_DISK)
-    held, listed = [level], []
-    try:
-        for sizes in (range(2, min(ngram_max, 2) + 1), range(3, ngram_max + 1)):
-            if not sizes:
+    buckets = _power_of_two(BUCKETS_PER_TERM * max_features)
+    sizes = range(1, ngram_max + 1)
+    with Scratch(df.sparkSession, "vocabulary") as scratch:
+        tokens = scratch.table(df.select(gram_tokens(F.col(text)).alias("_n1")), "tokens")
+        n_docs = tokens.count()
+        in_range = (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)
+        hashed = [f"transform({_starts(n)}, (t, i) -> {_bucket(n, buckets)} + {(n - 1) * buckets}L)" for n in sizes]
+        places = tokens.select(F.explode(F.expr(f"concat({', '.join(hashed)})")).alias("bucket"))
+        table = scratch.table(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+        leading = table.orderBy(F.col("n").desc()).limit(2 * max_features)
+        bound, found = leading.agg(F.min("n"), F.count(F.lit(1))).first()
+        bound = bound if found == 2 * max_features else 1
+        while True:
+            marked = {n: [] for n in sizes}
+            # At most the buckets of the table, a fixed number.
+            for row in table.filter(F.col("n") >= bound).select("bucket").toLocalIterator():
+                marked[row.bucket // buckets + 1].append(row.bucket % buckets)
+            grams = tokens.select(F.expr(_grams_in(marked, buckets)).alias("_grams"))
+            counts = _term_counts(grams, "_grams").filter(in_range)
+            top = counts.orderBy(F.col("tf").desc(), "term").limit(max_features).collect()
+            if bound == 1 or (len(top) == max_features and top[-1].tf >= bound):
                 break
-            listed.append(_listed(level, counts, in_range, min_df, max_features))
-            if listed[-1] == []:
-                break
-            grams = _grams(tokens, sizes, *(listed + [None])[:2])
-            level = _term_counts(grams, "_grams").persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(level)
-            counts = counts.unionByName(level)
-        top = _leading(counts, in_range, max_features).collect()
-    finally:
-        for level in held:
-            level.unpersist()
+            bound = max(1, bound // 2)
     if not top:
         raise ValueError("no terms remain: lower min_df or raise max_df")
     rows = sorted(top, key=lambda r: r.term.encode())
@@ -187,12 +176,13 @@ def fit_vocabulary(
 def tfidf_pipeline(vocabulary: Vocabulary, text: str = "text", output: str = "tfidf") -> PipelineModel:
     """tf * idf with unit row length, as stock ML stages; narrow, and vectors stay sparse."""
     idf = [math.log((1 + vocabulary.n_docs) / (1 + d)) + 1 for d in vocabulary.df]
-    sizes = range(1, vocabulary.ngram_max + 1)
-    grams = ", ".join(f"_n{n}" for n in sizes)
+    buckets = _power_of_two(BUCKETS_PER_TERM * len(vocabulary.terms))
+    marked = {n: [] for n in range(1, vocabulary.ngram_max + 1)}
+    for term in vocabulary.terms:
+        marked[term.count(" ") + 1].append(_bucket_of(term, buckets))
     stages = [
         RegexTokenizer(pattern=LONG_WORD_TOKEN, gaps=False, inputCol=text, outputCol="_n1", minTokenLength=2),
-        *[NGram(n=n, inputCol="_n1", outputCol=f"_n{n}") for n in sizes if n > 1],
-        SQLTransformer(statement=f"SELECT *, concat({grams}) AS _grams FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {_grams_in(marked, buckets)} AS _grams FROM __THIS__"),
         CountVectorizerModel.from_vocabulary(list(vocabulary.terms), inputCol="_grams", outputCol="_tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_weighted"),
         Normalizer(p=2.0, inputCol="_weighted", outputCol=output),
@@ -200,19 +190,25 @@ def tfidf_pipeline(vocabulary: Vocabulary, text: str = "text", output: str = "tf
     return PipelineModel(stages)
 
 
-TFIDF_SCRATCH = ["_grams", "_tf", "_weighted"]
+TFIDF_SCRATCH = ["_n1", "_grams", "_tf", "_weighted"]
 
 
 def tfidf_transform(df: DataFrame, vocabulary: Vocabulary, text: str = "text", output: str = "tfidf") -> DataFrame:
-    model = tfidf_pipeline(vocabulary, text, output)
-    scratch = [f"_n{n}" for n in range(1, vocabulary.ngram_max + 1)] + TFIDF_SCRATCH
-    return model.transform(df).drop(*scratch)
+    return tfidf_pipeline(vocabulary, text, output).transform(df).drop(*TFIDF_SCRATCH)
+
+
+def entries(vector: str) -> Column:
+    """The entries other than zero of a vector as an array of (idx, value); a sparse vector stays sparse."""
+    raw = F.unwrap_udt(F.col(vector))
+    dense = F.transform(raw["values"], lambda v, i: F.struct(i.alias("idx"), v.alias("value")))
+    sparse = F.transform(F.arrays_zip(raw["indices"], raw["values"]), lambda c: F.struct(c["indices"].alias("idx"), c["values"].alias("value")))
+    return F.filter(F.when(raw["indices"].isNull(), dense).otherwise(sparse), lambda c: c["value"] != 0)
 
 
 def vector_entries(df: DataFrame, vector: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Non-zero entries of a vector column as rows (keys, name, value)."""
     labels = literal_array(list(names))
-    cells = df.select(*keys, F.posexplode(vector_to_array(vector)).alias("_i", "value")).filter("value <> 0")
+    cells = df.select(*keys, F.inline(entries(vector)).alias("_i", "value"))
     return cells.select(*keys, F.get(labels, F.col("_i")).alias("term"), "value")
 
 
@@ -303,27 +299,23 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
 def variance_topk(df: DataFrame, k: int, vector: str = "features") -> DataFrame:
     """The `k` vector positions of greatest population variance: (rank, idx, variance).
 
-    Every partition sums up its rows into one width-sized summary. The summaries are merged
-    per position, spread over all tasks, and never meet as whole vectors in one of them.
+    Only entries other than zero are summed up, position by position; the zeros come in at the end
+    by their number. One entry more per row counts the rows and holds the width.
     """
-    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col(vector)).alias("s")
-    parts = df.groupBy(F.spark_partition_id().alias("_part")).agg(summary)
-    parts = parts.select(
-        F.col("s.count").alias("_n"),
-        vector_to_array("s.mean").alias("_mean"),
-        vector_to_array("s.variance").alias("_var"),
-    )
-    cells = parts.select("_n", F.posexplode(F.arrays_zip("_mean", "_var")).alias("idx", "_c"))
-    n, mean = F.col("_n"), F.col("_c._mean")
-    within = F.col("_c._var") * (n - 1)
-    merged = cells.groupBy("idx").agg(
-        F.sum("_n").alias("_n"),
-        F.sum(within).alias("_within"),
-        F.sum(n * mean).alias("_sum"),
-        F.sum(n * mean * mean).alias("_squares"),
+    size = F.coalesce(F.unwrap_udt(F.col(vector))["size"], F.size(F.unwrap_udt(F.col(vector))["values"]))
+    width = F.array(F.struct(F.lit(-1).alias("idx"), size.cast("double").alias("value")))
+    cells = df.select(F.inline(F.concat(width, entries(vector))))
+    sums = cells.groupBy("idx").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread"), F.max("value").alias("most")
     )
-    between = F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_n")
-    top = merged.select("idx", ((F.col("_within") + between) / F.col("_n")).alias("variance"))
+    sums = write_once(sums, "variance")  # a row per position
+    total = sums.filter("idx = -1").first()
+    rows, positions = (total.n, int(total.most)) if total else (0, 0)
+    every = df.sparkSession.range(positions).select(F.col("id").cast("int").alias("idx"))
+    zeros = (F.lit(rows) - F.col("n")) / F.lit(max(rows, 1))
+    share = F.col("n") / F.lit(max(rows, 1))
+    variance = F.coalesce(share * F.col("spread") + share * zeros * F.col("mean") * F.col("mean"), F.lit(0.0))
+    top = every.join(sums, "idx", "left").select("idx", variance.alias("variance"))
     top = top.orderBy(F.col("variance").desc(), "idx").limit(k)
     order = per_class_window().orderBy(F.col("variance").desc(), "idx")
     return top.select(F.row_number().over(order).alias("rank"), "idx", "variance")

@@ -9,7 +9,7 @@ from topicweir.functions.fixed_values import (
     WORD_CLASS,
 )
 from topicweir.functions.segmentation import Lattice
-from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SUBJECTS, SUBJECTS_AND_ABSENT, WORDS
+from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SELECTED, SUBJECTS, SUBJECTS_AND_ABSENT, WORDS
 
 
 def quoted(value: str) -> str:
@@ -251,23 +251,37 @@ def chars(x: str, pattern: str) -> str:
     return f"(length({x}) - length(regexp_replace({x}, '{pattern}', '', 'g')))"
 
 
-STATS = (
-    "base AS (SELECT doc_id, lang AS label, length(text)::INT AS text_length, "
-    f"len({words('text')})::INT AS word_count, {chars('text', f'[{HAN_CLASS}]+')}::INT AS chinese_chars, "
-    f"{chars('text', '[a-zA-Z]+')}::INT AS english_chars, {chars('text', chr(92) + 'p{Nd}+')}::INT AS digit_chars, "
-    f"{chars('text', f'[^{WORD_CLASS}{SPACE_CLASS}]+')}::INT AS symbol_chars FROM documents), "
-    "stats AS (SELECT *, text_length::DOUBLE / greatest(word_count, 1) AS avg_word_length, "
-    "chinese_chars::DOUBLE / greatest(text_length, 1) AS chinese_ratio, "
-    "english_chars::DOUBLE / greatest(text_length, 1) AS english_ratio, "
-    "digit_chars::DOUBLE / greatest(text_length, 1) AS digit_ratio FROM base)"
-)
+def stats(relation: str, key: str, text: str) -> str:
+    """CTEs ending in `stats` with the ten statistics of each text."""
+    return (
+        f"base AS (SELECT {key}, length({text})::INT AS text_length, "
+        f"len({words(text)})::INT AS word_count, {chars(text, f'[{HAN_CLASS}]+')}::INT AS chinese_chars, "
+        f"{chars(text, '[a-zA-Z]+')}::INT AS english_chars, {chars(text, chr(92) + 'p{Nd}+')}::INT AS digit_chars, "
+        f"{chars(text, f'[^{WORD_CLASS}{SPACE_CLASS}]+')}::INT AS symbol_chars FROM {relation}), "
+        "stats AS (SELECT *, text_length::DOUBLE / greatest(word_count, 1) AS avg_word_length, "
+        "chinese_chars::DOUBLE / greatest(text_length, 1) AS chinese_ratio, "
+        "english_chars::DOUBLE / greatest(text_length, 1) AS english_ratio, "
+        "digit_chars::DOUBLE / greatest(text_length, 1) AS digit_ratio FROM base)"
+    )
+
+
+STATS = stats("documents", "doc_id", "text")
 STAT_ORDER = [
     "text_length", "word_count", "avg_word_length", "chinese_chars", "english_chars",
     "digit_chars", "symbol_chars", "chinese_ratio", "english_ratio", "digit_ratio",
 ]
-LONG_STATS = "long AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, {i} AS idx, '{n}' AS name, {n}::DOUBLE AS v FROM stats" for i, n in enumerate(STAT_ORDER)
-) + "), top AS (SELECT row_number() OVER (ORDER BY var_pop(v) DESC, idx)::INT AS rank, idx, name, var_pop(v) AS variance FROM long GROUP BY idx, name)"
+# `cell(id, idx, name, v)`: entries of the assembled vectors; `top(rank, idx, name, variance)` over all positions.
+ASSEMBLED = (
+    f"{processed('documents', 'doc_id', 'text', 'pt')}, {tfidf('pt', 'id', 'text')}, {stats('pt', 'id', 'text')}, "
+    + hits("pt", "id", "text", WORDS, False)
+    + ", vi AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, count(*) OVER () AS n FROM vocab), "
+    "cell AS (SELECT id, idx, term AS name, w AS v FROM weights JOIN vi USING (term) UNION ALL "
+    + " UNION ALL ".join(f"SELECT id, (SELECT any_value(n) FROM vi) + {i}, '{n}', {n}::DOUBLE FROM stats" for i, n in enumerate(STAT_ORDER))
+    + f" UNION ALL SELECT id, (SELECT any_value(n) FROM vi) + {len(STAT_ORDER)} + ord, subject, hits::DOUBLE FROM hits), "
+    "sums AS (SELECT idx, name, count(*) / any_value(n_docs)::DOUBLE AS share, avg(v) AS mean, var_pop(v) AS spread FROM cell, nd WHERE v <> 0 GROUP BY idx, name), "
+    "top AS (SELECT row_number() OVER (ORDER BY variance DESC, idx)::INT AS rank, * FROM "
+    "(SELECT idx, name, share * spread + share * (1 - share) * mean * mean AS variance FROM sums))"
+)
 
 CENTROIDS = (
     "cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings), "
@@ -471,11 +485,12 @@ SQL: dict[str, str] = {
         "round(coalesce(e.embedding[64]::DOUBLE, 0), 6) AS last FROM documents d JOIN hits h ON h.id = d.doc_id AND h.subject = 'en' "
         "LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
     ),
-    "variance_topk": f"WITH {STATS}, {LONG_STATS} SELECT rank, name, round(variance, 2) AS variance FROM top WHERE rank <= 5",
+    "variance_topk": f"WITH {ASSEMBLED} SELECT rank, name, round(variance, 4) AS variance FROM top WHERE rank <= {SELECTED}",
     "apply_selection": (
-        f"WITH {STATS}, {LONG_STATS} SELECT l.doc_id, "
-        + ", ".join(f"round(max(CASE WHEN t.rank = {i} THEN l.v END), 6) AS f{i}" for i in range(1, 6))
-        + " FROM long l JOIN top t USING (idx) WHERE t.rank <= 5 GROUP BY l.doc_id"
+        f"WITH {ASSEMBLED} SELECT id AS doc_id, rank, round(v, 6) AS value FROM cell JOIN top USING (idx) WHERE rank <= {SELECTED} AND v <> 0"
+    ),
+    "extract_selected": (
+        f"WITH {ASSEMBLED} SELECT id AS doc_id, cell.name, round(v, 6) AS value FROM cell JOIN top USING (idx) WHERE rank <= {SELECTED} AND v <> 0"
     ),
     "align_width": (
         "SELECT vec_id, 32::INT AS width_32, round(list_sum(embedding[1:32]::DOUBLE[]), 6) AS total_32, 80::INT AS width_80, "
@@ -487,7 +502,8 @@ SQL: dict[str, str] = {
     "extract_features": (
         f"WITH {processed('documents', 'doc_id', 'text', 'pt')}, {tfidf('pt', 'id', 'text')}, "
         + hits("pt", "id", "text", WORDS, False)
-        + ", wc AS (SELECT id, count(*) AS terms FROM weights GROUP BY id) SELECT pt.id AS doc_id, coalesce(wc.terms, 0)::INT AS tfidf_terms, "
+        + ", wc AS (SELECT id, count(*) AS terms, sum(w) AS total FROM weights GROUP BY id) SELECT pt.id AS doc_id, coalesce(wc.terms, 0)::INT AS tfidf_terms, "
+        "round(coalesce(wc.total, 0), 6) AS tfidf_total, "
         f"length(pt.text)::DOUBLE AS text_length, len({words('pt.text')})::DOUBLE AS word_count, h.hits::DOUBLE AS n_en "
         "FROM pt LEFT JOIN wc USING (id) JOIN hits h ON h.id = pt.id AND h.subject = 'en'"
     ),

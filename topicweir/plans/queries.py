@@ -42,6 +42,7 @@ PARTICLES = {
 }
 CUSTOM_STOP = ["les", "que", "und", "der", "los"]
 FLOOR = 0.85  # of held-out accuracy and agreement
+SELECTED = 40  # positions of the assembled vector
 VOCABULARY = dict(ngram_max=4, min_df=2, max_df=0.9, max_features=1500)
 SMALL_TRAINING = TrainSettings(max_features=300, teacher_trees=3, teacher_depth=4, student_iterations=50)
 
@@ -118,9 +119,10 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.select("page_id", "url", "label", tx.text_runs(F.col("html"), "p").alias("text"))
 
 
-def stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.stat_features(documents(spark, sf, "text", "label"))
-    return features.assemble(out, features.STAT_NAMES)
+def cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Processed texts, written once, as several passes read them."""
+    docs = documents(spark, sf, "text").select("doc_id", tx.process_text(F.col("text")).alias("text"))
+    return write_once(docs, "words")
 
 
 def centroids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -455,17 +457,23 @@ def feature_assemble(spark, sf):
 
 @query
 def variance_topk(spark, sf):
-    names = F.array(*[F.lit(n) for n in features.STAT_NAMES])
-    top = features.variance_topk(stats(spark, sf), 5)
-    return top.select("rank", F.get(names, F.col("idx")).alias("name"), F.round("variance", 2).alias("variance"))
+    """Of the whole assembled vector: TF-IDF, statistics and keyword counts."""
+    words = cleaned(spark, sf)
+    model = features.fit_features(words, WORDS, processed=True)
+    names = features.literal_array(model.names)
+    top = features.variance_topk(model.transform(words, processed=True), SELECTED)
+    return top.select("rank", F.get(names, F.col("idx")).alias("name"), F.round("variance", 4).alias("variance"))
 
 
 @query
 def apply_selection(spark, sf):
-    rows = stats(spark, sf)
-    kept = [r.idx for r in features.variance_topk(rows, 5).orderBy("rank").collect()]
-    chosen = features.apply_selection(rows, kept).select("doc_id", features.vector_to_array("selected").alias("v"))
-    return chosen.select("doc_id", *[r6(F.get("v", F.lit(i))).alias(f"f{i + 1}") for i in range(5)])
+    words = cleaned(spark, sf)
+    model = features.fit_features(words, WORDS, processed=True)
+    rows = write_once(model.transform(words, processed=True).select("doc_id", "features"), "assembled")
+    kept = [r.idx for r in features.variance_topk(rows, SELECTED).orderBy("rank").collect()]
+    chosen = features.apply_selection(rows, kept)
+    cells = chosen.select("doc_id", F.inline(features.entries("selected")))
+    return cells.select("doc_id", (F.col("idx") + 1).alias("rank"), r6("value").alias("value"))
 
 
 @query
@@ -488,20 +496,30 @@ def feature_importance(spark, sf):
 @query
 def extract_features(spark, sf):
     # The text is cleaned once; vocabulary and vectors are made from the written words.
-    docs = documents(spark, sf, "text").select("doc_id", tx.process_text(F.col("text")).alias("text"))
-    words = write_once(docs, "words")
+    words = cleaned(spark, sf)
     model = features.fit_features(words, WORDS, processed=True)
     out = model.transform(words, processed=True).withColumn("v", features.vector_to_array("features"))
     width = len(model.vocabulary.terms)
+    weights = F.slice("v", 1, width)
     return out.select(
         "doc_id",
-        F.size(F.filter(F.slice("v", 1, width), lambda w: w > 0)).alias("tfidf_terms"),
+        F.size(F.filter(weights, lambda w: w > 0)).alias("tfidf_terms"),
+        r6(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)).alias("tfidf_total"),
         F.get("v", F.lit(width)).alias("text_length"),
         F.get("v", F.lit(width + 1)).alias("word_count"),
         F.get("v", F.lit(width + 10)).alias("n_en"),
     )
 
 
+@query
+def extract_selected(spark, sf):
+    """The same with fewer features than the vector is wide, so that fitting selects by variance."""
+    words = cleaned(spark, sf)
+    model = features.fit_features(words, WORDS, processed=True, cfg=TrainSettings(selected_features=SELECTED))
+    cells = model.transform(words, processed=True).select("doc_id", F.inline(features.entries("features")))
+    return cells.select("doc_id", F.get(features.literal_array(model.names), F.col("idx")).alias("name"), r6("value").alias("value"))
+
+
 @query
 def light_features(spark, sf):
     out = features.light_features(documents(spark, sf, "text"), WORDS)
