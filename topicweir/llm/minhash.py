@@ -7,10 +7,12 @@ sets need only a few, and two sets agree in a coordinate with a probability equa
 similarity, all coordinates together close to it with the concentration of independent ones.
 Bands of five coordinates make the keys: 51 bands miss a pair of similarity 0.8 once in 6e8.
 
-Equal sets are one node. All nodes of a key are first compared with the least one, exactly, after
-their sketches; links give components. Keys whose nodes are then still in several components are
-dealt into tiles of bounded size; pairs of tiles are spread over tasks, where pairs of different
-components are compared by size and sketch, and what stays is verified on the full sets.
+Equal sets are one node. All nodes of a key are first compared with the least one: by sketch, then
+exactly; links give components. Nodes of keys that then still hold several components are compared
+with further centers, another one for each key, which leaves few such keys. Those are dealt into
+tiles of bounded size; pairs of tiles are spread over tasks, where pairs of different components
+are compared by size and sketch, and what stays is verified on the full sets. A pair that shares
+several bands is taken in the first of them only.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -23,8 +25,9 @@ SHINGLE = 2
 SHARE = 80  # sets link when 100 * intersection >= 80 * union
 COORDINATES = 256
 BAND = 5
-# At a similarity of 0.8 the agreeing coordinates have mean 205 and deviation 6.4; 160 is seven below.
-AGREEING = 160
+# At a similarity of 0.8 the agreeing coordinates have mean 205 and deviation 6.4; 170 is 5.4 below.
+AGREEING = 170
+ROUNDS = 2  # of further centers
 TILE = 512
 SLICE = 1 << 20  # shingles sketched at a time
 
@@ -182,7 +185,7 @@ def _alike(share: int):
 def _across(share: int):
     """Rows of tile pairs, in order -> pairs of different components that may link."""
 
-    def pairs(own, other, comp, node, size, bits):
+    def pairs(own, other, band, comp, node, size, bits):
         import numpy as np
 
         good = comp[own][:, None] != comp[other][None]
@@ -193,18 +196,21 @@ def _across(share: int):
         x, y = np.nonzero(good)
         for at in range(0, len(x), 4096):
             a, b = own[x[at : at + 4096]], other[y[at : at + 4096]]
-            ok = (bits[a] == bits[b]).sum(axis=1) >= AGREEING
+            same = bits[a] == bits[b]
+            ok = same.sum(axis=1) >= AGREEING
+            if band:
+                ok &= ~same[:, : band * BAND].reshape(len(a), band, BAND).all(axis=2).any(axis=1)
             yield np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def done(parts):
-            tile, comp, node, size, bits = (np.concatenate(p) for p in zip(*parts))
-            first, last = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
-            other = first if tile.min() == tile.max() else last
-            for a, b in pairs(first, other, comp, node, size, bits):
+        def done(unit, parts):
+            band, tile, comp, node, size, bits = (np.concatenate(p) for p in zip(*parts))
+            first = np.flatnonzero(tile == unit[1])
+            other = first if unit[1] == unit[2] else np.flatnonzero(tile == unit[2])
+            for a, b in pairs(first, other, int(band[0]), comp, node, size, bits):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         current, held = None, []
@@ -212,16 +218,16 @@ def _across(share: int):
             if not len(batch):
                 continue
             unit = np.column_stack([batch.column(c).to_numpy() for c in ("key", "low", "high")])
-            columns = [batch.column(c).to_numpy() for c in ("tile", "comp", "node", "size")] + [_bytes_matrix(batch.column("sketch"))]
+            columns = [batch.column(c).to_numpy() for c in ("band", "tile", "comp", "node", "size")] + [_bytes_matrix(batch.column("sketch"))]
             cuts = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
             for begin, end in zip([0, *cuts], [*cuts, len(unit)]):
                 if held and (unit[begin] != current).any():
-                    yield from done(held)
+                    yield from done(current, held)
                     held = []
                 current = unit[begin].copy()
                 held.append([c[begin:end] for c in columns])
         if held:
-            yield from done(held)
+            yield from done(current, held)
 
     return run
 
@@ -249,18 +255,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
     node_rows = scratch.table(node_rows, "node-rows")
     nodes = node_rows.select(*a_set, "node")
 
-    entries = node_rows.select("node", F.explode("keys").alias("key"))
+    entries = node_rows.select("node", F.posexplode("keys").alias("band", "key"))
     centers = entries.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1")
     met = scratch.table(entries.join(centers, "key"), "met")
     light = node_rows.select("node", F.col("n_shingles").alias("size"), "sketch")
-    star = met.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    star = (
-        star.join(light.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("right")), "b")
-        .join(light.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("left")), "a")
-        .select("a", "b", "m", "n", "left", "right")
-        .mapInArrow(_alike(share), "a long, b long")
-    )
-    star = scratch.table(star, "star")
 
     # Full sets of all nodes that meet another; a row repeated many times is one text first.
     grouped = met.select("node").distinct()
@@ -270,34 +268,56 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(_verify(share), "a long, b long")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        found = pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(_verify(share), "a long, b long")
+        return scratch.table(found, name)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs of nodes those that link, judged by sketch and then by the full sets."""
+        first = light.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("left"))
+        second = light.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("right"))
+        seen = pairs.distinct().join(second, "b").join(first, "a").select("a", "b", "m", "n", "left", "right")
+        seen = scratch.table(seen.mapInArrow(_alike(share), "a long, b long"), f"{name}-alike")
+        return verified(seen, name)
+
+    def mixed(comps: DataFrame, name: str) -> DataFrame:
+        """Rows of the keys that hold several components."""
+        placed = met.join(comps, "node", "left").select("key", "band", "node", "members", F.coalesce("comp", "node").alias("comp"))
+        placed = scratch.table(placed, name)
+        several = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+        return placed.join(several.select("key"), "key")
 
     # Texts of one id hang together without any likeness.
     owned = known.select("doc_id", *a_set).join(nodes, a_set).select("doc_id", "node")
     spread = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most")
     same = owned.join(spread.select("doc_id", "a"), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
-    links = scratch.table(verified(star).unionByName(same), "links")
-    first = components(scratch, links, "first")
+    star = linked(met.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")), "star")
+    comps = components(scratch, scratch.table(star.unionByName(same), "links"), "comps-0")
+    for turn in range(1, ROUNDS + 1):
+        live = mixed(comps, f"placed-{turn}").filter("members > 2")
+        order = F.xxhash64("key", "node", F.lit(turn))
+        center = live.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("center"))
+        pairs = live.join(center, "key").filter(F.col("comp") != F.col("center.comp"))
+        more = linked(pairs.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")), f"links-{turn}")
+        comps = components(scratch, comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more), f"comps-{turn}")
+        scratch.drop(f"placed-{turn}")
 
-    placed = met.join(first, "node", "left").select("key", "node", "members", F.coalesce("comp", "node").alias("comp"))
-    placed = scratch.table(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    dealt = placed.join(mixed, "key").filter("members > 2").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")})
+    dealt = mixed(comps, "placed").filter("members > 2").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")})
     cross = (
         dealt.join(light, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "comp", "node", "size", "sketch")
+        .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "band", "tile", "comp", "node", "size", "sketch")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
         .mapInArrow(_across(share), "a long, b long")
-        .distinct()
     )
-    cross = scratch.table(cross, "cross")
+    # Bytes may agree where coordinates do not, so a pair can come twice.
+    cross = scratch.table(cross.distinct(), "cross")
     scratch.drop("met")
     scratch.drop("placed")
-    final = components(scratch, links.unionByName(verified(cross)), "final")
+    last = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(verified(cross, "links-cross"))
+    final = components(scratch, last, "final")
     scratch.drop("sets")
     named = nodes.join(final, "node", "left").select(*a_set, F.coalesce("comp", "node").alias("component_id"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).otherwise(F.col("component_id"))
