@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from topicweir.functions import matching
 from topicweir.operators import classify
 from topicweir.sources.dictionary import KeywordDictionary, default_dictionary
 
@@ -28,9 +27,7 @@ def model(text, dictionary):
 TEXTS = ["dna", "genes", "gene salt acid", "", None, "nothing", "x" * 996 + " dna", "x" * 997 + " dna", "GEN CELL DNA gene"]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0], ids=["contains", "automaton"])
-def test_scores(spark, monkeypatch, limit):
-    monkeypatch.setattr(matching, "MAX_CONTAINS_TERMS", limit)
+def test_scores(spark):
     assert results(spark, TEXTS) == [model(t, SMALL) for t in TEXTS]
 
 

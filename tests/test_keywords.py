@@ -2,7 +2,6 @@ import json
 
 import pytest
 
-from topicweir.functions import matching
 from topicweir.functions.fixed_values import DEFAULT_KEYWORDS, SUBJECTS
 from topicweir.operators import keywords
 from topicweir.sources import dictionary as dictionaries
@@ -70,9 +69,7 @@ def test_merge(spark):
     assert run(limit=1) == [("a", "aaa"), ("b", "q")]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0], ids=["contains", "automaton"])
-def test_hit_rate(spark, monkeypatch, limit):
-    monkeypatch.setattr(matching, "MAX_CONTAINS_TERMS", limit)
+def test_hit_rate(spark):
     packed = KeywordDictionary.of({"a": ["red", "red", "DNA"], "b": ["x"]})
     df = spark.createDataFrame([("a", "Red dna car"), ("a", "red"), ("b", ""), ("q", "one two")], "label string, text string")
     got = {r.label: r.hit_rate for r in keywords.keyword_hit_rate(df, packed).collect()}

@@ -45,9 +45,10 @@ def test_scoring_is_narrow(spark, sf):
 
 def test_filter_on_a_score_stays_above_the_score(spark, sf):
     docs = queries.table(spark, sf, "documents")
-    plan = plan_of(classify.keyword_classify(docs, queries.WORDS).filter("subject = 'en' and lang = 'en'"))
+    scored = settle(classify.keyword_classify(docs, queries.WORDS), "subject", "confidence")
+    plan = plan_of(scored.filter("subject = 'en' and lang = 'en'"))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
-    assert plan.count("Contains(") == queries.WORDS.size
+    assert plan.count("regexp_extract_all") == 1
 
 
 def test_top_terms_are_cut_before_the_class_meets(plans):
@@ -61,6 +62,13 @@ def test_class_filter_reaches_the_scan(spark, sf):
     assert "PushedFilters: [In(lang, [en,fr])" in plan
 
 
+def test_results_that_nobody_reads_are_not_computed(spark, sf):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text")
+    for rows in (classify.keyword_classify(docs, queries.WORDS), queries.with_model(docs), classify.cascade_classify(docs, queries.WORDS, queries.with_model)):
+        plan = plan_of(rows.select("doc_id"))
+        assert re.findall(r"ReadSchema: struct<([^>]*)>", plan) == ["doc_id:bigint"] and "regexp" not in plan
+
+
 def test_runtime_helpers(spark, sf):
     docs = queries.table(spark, sf, "documents")
     slots = spark.sparkContext.defaultParallelism

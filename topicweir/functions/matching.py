@@ -1,84 +1,103 @@
 """How many dictionary entries of each subject occur in a text (substring, not word).
 
-Few entries become plain `contains` terms that stay in generated code. Many entries go to
-an Arrow-batched function that scans the text once with an Aho-Corasick automaton.
+The entries become one pattern, a tree of their common beginnings, that is tried at every place
+of the text and takes the longest entry there; entries that begin another one go with it. So all
+entries are found in one pass in the JVM, and the work per text hardly depends on their number.
 """
 
-from collections.abc import Iterator
-from functools import reduce
+import re
+import zlib
+from collections import Counter
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from topicweir.runtime import bind, json_constant
 from topicweir.sources.dictionary import KeywordDictionary
 
-# Measured on 10,000 documents: above this many entries one automaton pass is quicker. The counts
-# are the same either way; `max_contains` chooses.
-MAX_CONTAINS_TERMS = 32
-
-
-def _owners(dictionary: KeywordDictionary) -> dict[str, list[int]]:
-    owners: dict[str, list[int]] = {}
-    for i, (_, kws) in enumerate(dictionary.entries):
-        for kw in kws:
-            owners.setdefault(kw, []).append(i)
-    return owners
-
-
-def _contains_terms(low: Column, keywords: tuple[str, ...]) -> Column:
-    hits = [F.contains(low, F.lit(k)).cast("int") for k in keywords]
-    return reduce(lambda a, b: a + b, hits) if hits else F.lit(0)
-
-
-def _automaton_counts(dictionary: KeywordDictionary):
-    owners = _owners(dictionary)
-    width = len(dictionary.entries)
-    always = owners.pop("", [])
-
-    def found_keywords():
-        """A function from text to the set of keywords it contains."""
-        if not owners:
-            return lambda text: set()
-        machine = ahocorasick.Automaton()
-        for kw in owners:
-            machine.add_word(kw, kw)
-        machine.make_automaton()
-        return lambda text: {kw for _, kw in machine.iter(text)}
-
-    @F.pandas_udf("array<int>")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        found = found_keywords()
-        for texts in batches:
-            rows = []
-            for text in texts:
-                row = [0] * width
-                for i in always:
-                    row[i] += 1
-                for kw in found(text):
-                    for i in owners[kw]:
-                        row[i] += 1
-                rows.append(row)
-            yield pd.Series(rows)
-
-    return counts
-
-
-def keyword_counts(low: Column, dictionary: KeywordDictionary, max_contains: int | None = None) -> Column:
+WIDE = 6  # branches of the tree that are tried one after another; more are parted by ranges first
+
+
+def prefix_pattern(entries: list[str]) -> str:
+    """A pattern for the longest of `entries` (none empty) at a place, without backtracking over branches."""
+
+    def tree(words: list[str]) -> str:
+        """`words` sorted and distinct; an empty one means that the pattern may end here."""
+        ends = bool(words) and words[0] == ""
+        words = words[1:] if ends else words
+        if not words:
+            return ""
+        branches, begin = [], 0
+        for i in range(1, len(words) + 1):
+            if i == len(words) or words[i][0] != words[begin][0]:
+                branches.append(words[begin:i])
+                begin = i
+        body = choice(list(map(branch, branches)), [b[0][0] for b in branches])
+        return f"(?:{body})?" if ends else body if len(branches) == 1 else f"(?:{body})"
+
+    def branch(words: list[str]) -> str:
+        first, last = words[0], words[-1]
+        same = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+        return re.escape(first[:same]) + tree([w[same:] for w in words])
+
+    def choice(patterns: list[str], heads: list[str]) -> str:
+        if len(patterns) <= WIDE:
+            return "|".join(patterns)
+        middle = len(patterns) // 2
+        sides = [(patterns[:middle], heads[:middle]), (patterns[middle:], heads[middle:])]
+        return "|".join(f"(?=[\\x{{{ord(h[0]):x}}}-\\x{{{ord(h[-1]):x}}}])(?:{choice(p, h)})" for p, h in sides)
+
+    return tree(sorted(set(entries)))
+
+
+class EntryMatcher:
+    """Distinct entries of a dictionary, with their number per subject."""
+
+    def __init__(self, dictionary: KeywordDictionary):
+        self.width = len(dictionary.entries)
+        self.owners: dict[str, Counter] = {}
+        for i, (_, kws) in enumerate(dictionary.entries):
+            for kw in kws:
+                self.owners.setdefault(kw, Counter())[i] += 1
+        self.always = self.owners.pop("", Counter())
+        self.entries = sorted(self.owners)
+
+    def found(self, low: Column) -> Column:
+        """Numbers of the entries that the text contains, each once."""
+        number = {e: i for i, e in enumerate(self.entries)}
+        size = 1 << max(4, (2 * len(self.entries)).bit_length())
+        table: list[list] = [[] for _ in range(size)]
+        for e in self.entries:
+            begins = [number[e[:n]] for n in range(1, len(e) + 1) if e[:n] in number]
+            table[zlib.crc32(e.encode()) % size].append({"e": e, "ids": begins})
+        constant = json_constant(table, "array<array<struct<e: string, ids: array<int>>>>")
+
+        def ids(longest: Column) -> Column:
+            bucket = F.get(constant, F.pmod(F.crc32(longest.cast("binary")), F.lit(size)).cast("int"))
+            return F.flatten(F.transform(F.filter(bucket, lambda b: b["e"] == longest), lambda b: b["ids"]))
+
+        places = F.regexp_extract_all(low, F.lit(f"(?=({prefix_pattern(self.entries)}))"), F.lit(1))
+        return F.array_distinct(F.flatten(F.transform(F.array_distinct(places), ids)))
+
+    def counts(self, low: Column) -> Column:
+        """One count per subject; the empty entry is in every text."""
+        always = F.array(*[F.lit(self.always[i]) for i in range(self.width)])
+        if not self.entries:
+            return always
+        weights = json_constant([[self.owners[e][i] for e in self.entries] for i in range(self.width)], "array<array<int>>")
+        return bind(
+            self.found(low),
+            lambda found: F.transform(
+                always, lambda n, i: bind(F.get(weights, i), lambda own: F.aggregate(found, n, lambda a, e: a + F.get(own, e)))
+            ),
+        )
+
+
+def keyword_counts(low: Column, dictionary: KeywordDictionary) -> Column:
     """Array with one count per subject; `low` is the lower-cased text, never null."""
-    if dictionary.size <= (MAX_CONTAINS_TERMS if max_contains is None else max_contains):
-        return F.array(*[_contains_terms(low, kws) for _, kws in dictionary.entries])
-    return _automaton_counts(dictionary)(low)
+    return EntryMatcher(dictionary).counts(low)
 
 
-def own_class_count(
-    low: Column, label: Column, dictionary: KeywordDictionary, max_contains: int | None = None
-) -> Column:
+def own_class_count(low: Column, label: Column, dictionary: KeywordDictionary) -> Column:
     """Count for the row's own subject only; 0 for a label the dictionary lacks."""
-    if dictionary.size <= (MAX_CONTAINS_TERMS if max_contains is None else max_contains):
-        out = F.lit(0)
-        for subject, kws in dictionary.entries:
-            out = F.when(label == subject, _contains_terms(low, kws)).otherwise(out)
-        return out
     position = F.array_position(F.array(*[F.lit(s) for s in dictionary.subjects]), label)
-    return F.coalesce(F.get(keyword_counts(low, dictionary, max_contains), (position - 1).cast("int")), F.lit(0))
+    return F.coalesce(F.get(keyword_counts(low, dictionary), (position - 1).cast("int")), F.lit(0))

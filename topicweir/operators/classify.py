@@ -11,7 +11,7 @@ from topicweir.functions.fixed_values import SLIDES_KEYWORD_ONLY, UNKNOWN
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import arg_max
 from topicweir.operators.extraction import deck_text
-from topicweir.runtime import settle, write_once
+from topicweir.runtime import write_once
 from topicweir.sources.dictionary import KeywordDictionary
 
 DEFAULTS = ClassifySettings()
@@ -41,7 +41,9 @@ def keyword_classify(
 ) -> DataFrame:
     """Share of each subject's entries found in the text; best subject and its confidence.
 
-    The confidence is the score times `confidence_rate`, so it can exceed 1.
+    The confidence is the score times `confidence_rate`, so it can exceed 1. Both are plain columns
+    that are left out of the plan where nobody reads them; `settle` them before filtering on them,
+    else the filter computes them once more.
     """
     lowered = dictionary.lowered()
     body = F.coalesce(F.col(text), F.lit(""))
@@ -55,7 +57,7 @@ def keyword_classify(
             confidence: F.when(hit, F.col("_best.score") * cfg.confidence_rate).otherwise(F.lit(0.0)),
         }
     )
-    return settle(out.drop("_counts", "_chars", "_best"), subject, confidence)
+    return out.drop("_counts", "_chars", "_best")
 
 
 def model_classify(
@@ -86,7 +88,7 @@ def model_classify(
             confidence: F.coalesce(F.array_max("_probs"), F.lit(0.0)),
         }
     )
-    return settle(out.drop("_probs"), subject, confidence)
+    return out.drop("_probs")
 
 
 def combine(
@@ -140,7 +142,7 @@ def cascade_classify(
     )
     columns = [F.col("_text").alias(text) if c == text else F.col(c) for c in df.columns]
     out = model(masked).select(*columns, *[column.alias(name) for name, column in final.items()])
-    return settle(out, "subject", "confidence")
+    return out
 
 
 def keyword_only(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from topicweir.runtime import per_class_window
+from topicweir.runtime import per_class_window, settle
 
 SAMPLE_CHARS = 100
 NO_CLASS = "(none)"
@@ -155,7 +155,7 @@ def analyze_errors(
 
     `classes` names the positions of the probability array.
     """
-    wrong = p.filter(~F.col(label).eqNullSafe(F.col(prediction)))
+    wrong = settle(p, prediction).filter(~F.col(label).eqNullSafe(F.col(prediction)))
     if probability is None:
         true_prob = pred_prob = F.lit(None).cast("double")
     else:

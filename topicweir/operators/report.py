@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from topicweir.functions.fixed_values import CONFIDENCE_BINS, FAILED, UNKNOWN
 from topicweir.operators.dataset import subject_table
-from topicweir.runtime import literal_table, per_class_window
+from topicweir.runtime import literal_table, per_class_window, settle
 
 
 def subject_report(results: DataFrame, subjects: Sequence[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def confidence_histogram(results: DataFrame, with_overflow: bool = True) -> Data
     number = F.lit(None).cast("int")
     for i, (low, high, _) in enumerate(bins):
         number = F.when((c >= low) & (c < high), F.lit(i)).otherwise(number)
-    counts = results.filter(_valid()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(results.select("subject", "confidence"), "subject", "confidence").filter(_valid()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("percent", F.col("n") / F.sum("n").over(per_class_window()) * 100)
     names = literal_table(
         results.sparkSession, [(i, name) for i, (_, _, name) in enumerate(bins)], ["bin", "name"], ["int", "string"]

@@ -9,7 +9,7 @@ from topicweir.functions.fixed_values import (
     WORD_CLASS,
 )
 from topicweir.functions.segmentation import Lattice
-from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SELECTED, SUBJECTS, SUBJECTS_AND_ABSENT, WORDS
+from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SELECTED, SUBJECTS, SUBJECTS_AND_ABSENT, WIDE_ENTRIES, WORDS
 
 
 def quoted(value: str) -> str:
@@ -514,6 +514,16 @@ SQL: dict[str, str] = {
     ),
     # classification
     "keyword_classify": f"WITH {SCORED} SELECT doc_id, label, subject, round(confidence, 6) AS confidence FROM s",
+    "keyword_classify_wide": (
+        f"WITH {class_terms('documents', 'lang', 'text', WIDE_ENTRIES, 'dict')}, sz AS (SELECT subject, count(*) AS size FROM dict GROUP BY subject), "
+        "low AS (SELECT doc_id, lower(text) AS t, length(text) AS chars FROM documents), "
+        "hit AS (SELECT doc_id, subject, any_value(subject_ord) AS ord, any_value(chars) AS chars, sum(contains(t, lower(keyword))::INT)::BIGINT AS n "
+        "FROM low, dict GROUP BY doc_id, subject), "
+        "sc AS (SELECT doc_id, subject, ord, least(n::DOUBLE / size * CASE WHEN chars > 1000 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 1.0::DOUBLE) AS score "
+        "FROM hit JOIN sz USING (subject)) "
+        "SELECT doc_id, CASE WHEN score > 0 THEN subject ELSE '未知' END AS subject, round(score * 10, 6) AS confidence FROM sc "
+        "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1"
+    ),
     "cascade_classify": (
         f"WITH {SCORED}, {PROBS} SELECT doc_id, label, CASE WHEN confidence > 0.8 OR text = '' THEN subject "
         "WHEN model_confidence >= confidence THEN model_subject ELSE subject END AS subject, "

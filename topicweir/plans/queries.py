@@ -42,6 +42,7 @@ PARTICLES = {
 }
 CUSTOM_STOP = ["les", "que", "und", "der", "los"]
 FLOOR = 0.85  # of held-out accuracy and agreement
+WIDE_ENTRIES = 188
 SELECTED = 40  # positions of the assembled vector
 VOCABULARY = dict(ngram_max=4, min_df=2, max_df=0.9, max_features=1500)
 SMALL_TRAINING = TrainSettings(max_features=300, teacher_trees=3, teacher_depth=4, student_iterations=50)
@@ -540,6 +541,14 @@ def keyword_classify(spark, sf):
     return rounded(classify.keyword_classify(docs, WORDS).drop("text"), "confidence")
 
 
+@query
+def keyword_classify_wide(spark, sf):
+    """With a dictionary of the size people use: 188 entries a class, 752 in all."""
+    words = KeywordDictionary.from_frame(document_dictionary(spark, sf, WIDE_ENTRIES))
+    out = classify.keyword_classify(documents(spark, sf, "text"), words).drop("text")
+    return rounded(out, "confidence")
+
+
 @query
 def cascade_classify(spark, sf):
     docs = documents(spark, sf, "text", "label")

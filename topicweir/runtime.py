@@ -58,9 +58,14 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: list[str], type
     return spark.range(1).select(F.inline(F.from_json(F.lit(items), f"array<struct<{schema}>>")))
 
 
+def json_constant(value: list, kind: str) -> Column:
+    """A nested driver-side list as a constant of the plan; the optimizer parses it once."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def literal_array(values: list, kind: str = "string") -> Column:
     """A driver-side list as one constant array column."""
-    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"array<{kind}>")
+    return json_constant(values, f"array<{kind}>")
 
 
 def per_class_window():
