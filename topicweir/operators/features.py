@@ -25,6 +25,7 @@ from topicweir.functions.fixed_values import HAN_CLASS, NOT_WORD_OR_SPACE
 from topicweir.functions.matching import keyword_counts
 from topicweir.functions.scores import align_width
 from topicweir.functions.text import LONG_WORD_TOKEN, process_text, whitespace_words
+from topicweir.functions.vectors import entries, vector_size
 from topicweir.runtime import Scratch, literal_array, literal_table, per_class_window, settle, write_once
 from topicweir.sources.dictionary import KeywordDictionary
 
@@ -197,14 +198,6 @@ def tfidf_transform(df: DataFrame, vocabulary: Vocabulary, text: str = "text", o
     return tfidf_pipeline(vocabulary, text, output).transform(df).drop(*TFIDF_SCRATCH)
 
 
-def entries(vector: str) -> Column:
-    """The entries other than zero of a vector as an array of (idx, value); a sparse vector stays sparse."""
-    raw = F.unwrap_udt(F.col(vector))
-    dense = F.transform(raw["values"], lambda v, i: F.struct(i.alias("idx"), v.alias("value")))
-    sparse = F.transform(F.arrays_zip(raw["indices"], raw["values"]), lambda c: F.struct(c["indices"].alias("idx"), c["values"].alias("value")))
-    return F.filter(F.when(raw["indices"].isNull(), dense).otherwise(sparse), lambda c: c["value"] != 0)
-
-
 def vector_entries(df: DataFrame, vector: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Non-zero entries of a vector column as rows (keys, name, value)."""
     labels = literal_array(list(names))
@@ -302,8 +295,7 @@ def variance_topk(df: DataFrame, k: int, vector: str = "features") -> DataFrame:
     Only entries other than zero are summed up, position by position; the zeros come in at the end
     by their number. One entry more per row counts the rows and holds the width.
     """
-    size = F.coalesce(F.unwrap_udt(F.col(vector))["size"], F.size(F.unwrap_udt(F.col(vector))["values"]))
-    width = F.array(F.struct(F.lit(-1).alias("idx"), size.cast("double").alias("value")))
+    width = F.array(F.struct(F.lit(-1).alias("idx"), vector_size(vector).cast("double").alias("value")))
     cells = df.select(F.inline(F.concat(width, entries(vector))))
     sums = cells.groupBy("idx").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread"), F.max("value").alias("most")
