@@ -312,6 +312,12 @@ def rank_scores(rounded_kind: str, shift_kind: str, top: str) -> str:
     )
 
 
+def half(x: str) -> str:
+    """A value rounded to half precision: 11 significant bits, none below 2^-24."""
+    unit = f"pow(2.0::DOUBLE, greatest(floor(log2(abs({x}))), -14) - 10)"
+    return f"CASE WHEN {x} = 0 THEN 0 ELSE round_even({x} / {unit}, 0) * {unit} END"
+
+
 def best_class(scores: str) -> str:
     return (
         f"SELECT vec_id, label, class FROM ({scores}) "
@@ -336,7 +342,12 @@ QUOTAS = (
     "quota AS (SELECT label, n - floor(exact) - (row_number() OVER (ORDER BY exact - floor(exact) DESC, label) "
     "<= n_train - sum(floor(exact)) OVER ())::INT AS quota FROM ex)"
 )
-HELD_OUT = f"WITH {QUOTAS} SELECT label, quota::BIGINT AS n_test, "
+# Test rows of the split and whether the keyword classifier hits them.
+TEST_ROWS = (
+    f"{hash_ranked('documents', 'lang', 'doc_id', 'doc_id, lang AS label')}, {QUOTAS}, {C1}, "
+    "test AS (SELECT r.label, (c1.subject = r.label) AS baseline FROM ranked r JOIN quota USING (label) JOIN c1 ON c1.id = r.doc_id WHERE rn <= quota)"
+)
+HELD_OUT = f"WITH {TEST_ROWS} SELECT label, count(*) AS n_test, sum(baseline::INT)::BIGINT AS baseline_hits, "
 
 SQL: dict[str, str] = {
     # sources, extraction
@@ -548,10 +559,13 @@ SQL: dict[str, str] = {
         "FROM s LEFT JOIN labels l USING (doc_id)"
     ),
     # training
-    "train_teacher": HELD_OUT + "true AS accurate, true AS sums_to_one FROM quota",
-    "train_student": HELD_OUT + "true AS accurate FROM quota",
-    "distill": HELD_OUT + "true AS agrees, true AS accurate FROM quota",
-    "train_job": "SELECT model, true AS accurate FROM (VALUES ('teacher'), ('student'), ('reduced')) t(model)",
+    "train_teacher": HELD_OUT + "true AS accurate, true AS sums_to_one FROM test GROUP BY label",
+    "train_student": HELD_OUT + "true AS accurate FROM test GROUP BY label",
+    "distill": HELD_OUT + "true AS agrees, true AS accurate FROM test GROUP BY label",
+    "train_job": (
+        f"WITH {TEST_ROWS} SELECT model, n_test, baseline, true AS accurate FROM (VALUES ('teacher'), ('student'), ('reduced')) t(model), "
+        "(SELECT count(*) AS n_test, round(avg(baseline::INT), 6) AS baseline FROM test)"
+    ),
     "temperature_scale": (
         f"WITH {PROBS}, pw AS (SELECT id, subject, pow(least(greatest(p, 1e-10::DOUBLE), 1 - 1e-10::DOUBLE), 0.5::DOUBLE) AS q FROM probs), "
         "tp AS (SELECT id, subject, q / sum(q) OVER (PARTITION BY id) AS q FROM pw) SELECT id AS doc_id, "
@@ -572,6 +586,15 @@ SQL: dict[str, str] = {
         "acc AS (SELECT (SELECT avg((label = class)::INT) FROM full_best) AS f, (SELECT avg((label = class)::INT) FROM small_best) AS r) "
         "SELECT round(f, 6) AS full_accuracy, round(r, 6) AS reduced_accuracy, round(r - f, 6) AS change FROM acc"
     ),
+    "reduced_eval_half": (
+        f"WITH {CENTROIDS}, half_coef AS (SELECT class, feature, {half('value')} AS value FROM coef), "
+        f"half_shift AS (SELECT class, {half('value')} AS value FROM shift), full_best AS ({best_class(rank_scores('DOUBLE', 'DOUBLE', ''))}), "
+        "half_score AS (SELECT c.vec_id, c.label, k.class, sum(c.v * k.value) + any_value(s.value) AS score FROM cells c "
+        "JOIN half_coef k USING (feature) JOIN half_shift s USING (class) JOIN kept t ON t.feature = c.feature AND t.rank <= 32 GROUP BY ALL), "
+        "small_best AS (SELECT vec_id, label, class FROM half_score QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) = 1), "
+        "acc AS (SELECT (SELECT avg((label = class)::INT) FROM full_best) AS f, (SELECT avg((label = class)::INT) FROM small_best) AS r) "
+        "SELECT round(f, 6) AS full_accuracy, round(r, 6) AS reduced_accuracy, round(r - f, 6) AS change FROM acc"
+    ),
     # evaluation
     "accuracy": EVAL + "SELECT round(avg((label = prediction)::INT), 6) AS accuracy FROM e",
     "macro_metrics": (
