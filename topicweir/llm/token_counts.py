@@ -7,17 +7,19 @@ are joined by broadcast, so no hot pre-token is ever shuffled; the rare rest is
 row per document and pre-token.
 """
 
-from pyspark.sql import DataFrame, functions as F
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from topicweir.llm.common import load_tokenizer, text_rows
 from topicweir.runtime import Scratch
 
-# The pre-token pattern and the special token of the byte-level vocabulary.
+# Fixed value: the pre-token pattern of byte-level vocabularies, with {L} for letters and {N} for numbers.
 PRETOKEN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\p{IsWhite_Space}{L}{N}]+"
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
-SPECIAL = "<|endoftext|>"
 
 HEAD = 200_000
 HEAD_BYTES = 64
@@ -37,24 +39,91 @@ def _pieces(path: str):
     return run
 
 
-def count_tokens(
-    docs: DataFrame,
-    tokenizer_path: str,
-    limit: int = LIMIT,
-    head: int = HEAD,
-    pattern: str = PRETOKEN,
-    special: str = SPECIAL,
-) -> DataFrame:
+def _chunks(size: int = 8192):
+    """All code points but surrogates, as strings."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    return ["".join(map(chr, points[i : i + size])) for i in range(0, len(points), size)]
+
+
+def _joining(tokenizer, start: str) -> set[str]:
+    """Characters that the tokenizer puts into one pre-token with `start` before them."""
+    out = set()
+    for chunk in _chunks():
+        text = "".join(f"{start}{c}\n" for c in chunk)
+        spans = {a: b for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+        out |= {c for i, c in enumerate(chunk) if spans.get(3 * i, 0) == 3 * i + 2}
+    return out
+
+
+def _ranges(chars: set[str]) -> str:
+    points, out = sorted(map(ord, chars)), []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+_SCHEMES: dict[str, tuple] = {}  # by file, for the life of the driver
+
+
+def scheme(spark: SparkSession, path: str):
+    """How the tokenizer file cuts the column `text`: a function from a part of it to its pre-tokens, and the special tokens.
+
+    The tokenizer itself tells which code points are letters and numbers to it; where the JVM's
+    tables say otherwise (it may know fewer of the newest letters), the classes name the
+    difference. A file that cuts in another way is refused.
+    """
+    if path not in _SCHEMES:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        kind = file.get("pre_tokenizer") or {}
+        plain = all(not t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if kind.get("type") != "ByteLevel" or not kind.get("use_regex", True) or kind.get("add_prefix_space") or file.get("normalizer") or not plain:
+            raise ValueError(f"{path} does not cut texts like a plain byte-level vocabulary")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        own = {"L": _joining(tokenizer, "a"), "N": _joining(tokenizer, "1")}
+        rows = spark.createDataFrame([(c,) for c in _chunks()], "chunk string")
+        seen = rows.select(*[F.regexp_replace("chunk", rf"\P{{{k}}}", "").alias(k) for k in own]).collect()  # all code points once
+        classes, odd = {}, set()
+        for k, chars in own.items():
+            known = {c for r in seen for c in r[k]}
+            odd |= chars ^ known
+            classes[k] = f"\\p{{{k}}}{_ranges(chars - known)}", known - chars
+        if any(lost for _, lost in classes.values()):
+            raise ValueError("the JVM knows letters or numbers that the tokenizer does not")
+        _SCHEMES[path] = {k: c for k, (c, _) in classes.items()}, min(map(ord, odd), default=None), [t["content"] for t in file["added_tokens"]]
+    classes, least, special = _SCHEMES[path]
+
+    def pieces(text: Column) -> Column:
+        def by(letters: str, numbers: str) -> Column:
+            return F.regexp_extract_all(text, F.lit(PRETOKEN.replace("{L}", letters).replace("{N}", numbers)), F.lit(0))
+
+        usual = by(r"\p{L}", r"\p{N}")
+        if least is None:
+            return usual
+        # Only texts with code points from the first difference on need the longer classes.
+        return F.when(F.col("text").rlike(f"[\\x{{{least:x}}}-\\x{{10ffff}}]"), by(classes["L"], classes["N"])).otherwise(usual)
+
+    return pieces, special
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of `docs`.
 
     `docs` needs `doc_id` and `text`; other columns are ignored. A null text is an empty one and
     has no tokens; every input row gives one row, also when rows or ids repeat. An empty table
-    gives an empty result. A special token inside a text counts as one token.
+    gives an empty result. A special token inside a text counts as one token. A tokenizer file that
+    does not cut texts like a plain byte-level vocabulary is refused.
     """
     scratch = Scratch(docs.sparkSession, "token-counts")
-    literal = "".join("\\" + c if c in r"\.[]{}()<>*+-=!?^$|" else c for c in special)
+    pieces_of, special = scheme(docs.sparkSession, tokenizer_path)
+    literal = "|".join(re.sub(r"(\W)", r"\\\1", t) for t in sorted(special, key=len, reverse=True)) or r"(?!)"
     parts = F.split("text", literal, -1)
-    cut = F.flatten(F.transform(parts, lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(0))))
+    cut = F.flatten(F.transform(parts, pieces_of))
     rows = text_rows(docs)
 
     seen = rows.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count("*").alias("seen"))
