@@ -83,3 +83,11 @@ def test_linked_sets_share_a_key(seed):
 
 def test_empty_table(no_docs):
     assert link_documents(no_docs).count() == 0
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = ("one two three four five six seven", "red green blue black white grey", "u v w x y z")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (5, c), (5, ""), (6, None), (6, c), (7, ""), (None, a)]
+    got = sorted(map(tuple, link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert {r[0]: r[2] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, None: None}

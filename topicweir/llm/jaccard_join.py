@@ -304,7 +304,12 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) ->
         return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(_verify(share), "a long, b long")
 
     star = groups.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.table(verified(star), "links")
+    # Texts of one id hang together without any likeness.
+    known = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *a_set)
+    owned = known.join(nodes, a_set).select("doc_id", "node")
+    spread = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most")
+    same = owned.join(spread.select("doc_id", "a"), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
+    links = scratch.table(verified(star).unionByName(same), "links")
     first = components(scratch, links, "first")
 
     # Groups that are not yet one component.
@@ -327,7 +332,8 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) ->
         nodes.join(final, "node", "left")
         .select(*a_set, F.coalesce("comp", "node").alias("component_id"))
     )
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).otherwise(F.col("component_id"))
-    return sketches.select("doc_id", *a_set).join(named, a_set, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
-    )
+    slim = sketches.select("doc_id", *a_set).join(named, a_set, "left")
+    # A row with an empty text belongs to the other rows of its id.
+    least = slim.groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", F.col("doc_id").cast("long")))
+    return slim.join(least, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
