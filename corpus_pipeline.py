@@ -31,20 +31,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines cut out; documents of which no line is left go."""
-    # Units of 16 words, as the stage's test has them; op10 takes smaller ones and deletes more.
-    left = line_dedup.dedup_lines(docs, unit_words=16)
+    left = line_dedup.dedup_lines(docs)
     return _counted(left.filter((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines"))))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts, the one with the least id.
+    """One row of each group of linked texts, the one with the least id; of equal ids the first row read.
 
-    Documents without words link with nothing and stay.
+    Rows are judged one by one, so repeated rows are copies of each other, rows without id go
+    where another row has their text, and an id with two texts loses only those that are copies.
+    Texts without words link with nothing and stay.
     """
     scratch = Scratch(spark, "near-copies")
-    groups = scratch.table(jaccard_join.link_documents(docs), "groups")
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = scratch.table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.link_documents(rows.select(F.col("row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("group").agg(first).select("first.row")
+    kept = scratch.table(kept, "kept")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +77,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over `documents`; each stage's result is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
