@@ -9,7 +9,7 @@ from topicweir.functions.fixed_values import (
     WORD_CLASS,
 )
 from topicweir.functions.segmentation import Lattice
-from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SELECTED, SUBJECTS, SUBJECTS_AND_ABSENT, WIDE_ENTRIES, WORDS
+from topicweir.plans.queries import ACCENTS, CUSTOM_STOP, DESCRIPTIONS, LETTERS, MIXED_CASE, PARTICLES, SELECTED, SIMILAR, SUBJECTS, SUBJECTS_AND_ABSENT, WIDE_ENTRIES, WORDS
 
 
 def quoted(value: str) -> str:
@@ -439,6 +439,16 @@ SQL: dict[str, str] = {
         "len(list_intersect(a.toks, b.toks))::DOUBLE / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) END, 6) AS similarity "
         "FROM sets a JOIN sets b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
     ),
+    "similar_pairs": (
+        f"WITH {processed('documents', 'doc_id', 'text', 'pd')}, {processed('benchmark', 'item_id', 'text', 'pb')}, "
+        + ", ".join(
+            f"{name} AS (SELECT id, list_distinct(list_filter(string_split(text, ' '), lambda w: w <> '')) AS t FROM {source})"
+            for name, source in (("ds", "pd"), ("bs", "pb"))
+        )
+        + ", pr AS (SELECT a.id AS doc_id, b.id AS item_id, len(list_intersect(a.t, b.t)) AS n_both, len(a.t) + len(b.t) AS total FROM ds a, bs b "
+        f"WHERE len(a.t) > 0 AND len(b.t) > 0) SELECT doc_id, item_id, round(n_both::DOUBLE / (total - n_both), 6) AS similarity FROM pr "
+        f"WHERE n_both::DOUBLE / (total - n_both) >= {SIMILAR}::DOUBLE"
+    ),
     # datasets
     "limit_per_class": (
         f"WITH {hash_ranked('documents', 'lang', 'doc_id', 'doc_id, lang AS label')} SELECT doc_id, label FROM ranked WHERE rn <= 100"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from topicweir.config import TrainSettings
 from topicweir.functions import scores, text as tx
 from topicweir.functions.fixed_values import STOPWORDS_ENGLISH
-from topicweir.operators import classify, dataset, evaluate, extraction, features, keywords, report, training
+from topicweir.operators import classify, dataset, evaluate, extraction, features, keywords, report, similarity, training
 from topicweir.plans.batch_job import classify_decks
 from topicweir.plans.deck_rows import document_decks
 from topicweir.plans.train_job import train
@@ -43,6 +43,7 @@ PARTICLES = {
 CUSTOM_STOP = ["les", "que", "und", "der", "los"]
 FLOOR = 0.85  # of agreement with the teacher on held-out rows
 BAND = 0.03  # by which held-out accuracy may stay below that of the keywords
+SIMILAR = 0.08  # least similarity of a document and a benchmark item
 WIDE_ENTRIES = 188
 SELECTED = 40  # positions of the assembled vector
 VOCABULARY = dict(ngram_max=4, min_df=2, max_df=0.9, max_features=1500)
@@ -338,6 +339,13 @@ def jaccard(spark, sf):
     return pairs.select("conv_id", "turn", r6(tx.jaccard(F.col("text"), F.col("next_text"))).alias("similarity"))
 
 
+@query
+def similar_pairs(spark, sf):
+    """Documents against the whole benchmark, all pairs above the threshold."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    return rounded(similarity.similar_pairs(documents(spark, sf, "text"), items, SIMILAR), "similarity")
+
+
 # --- datasets ----------------------------------------------------------------------------------
 
 
