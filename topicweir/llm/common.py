@@ -19,23 +19,62 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def worker_state(key: str, build):
-    """A value kept in a Python worker for its next tasks, such as a loaded tokenizer.
+def _held() -> dict:
+    """Values of this Python worker.
 
-    Functions travel to the tasks by value, so their module globals are new in each task;
-    a module registered in the worker's own `sys.modules` is not. Workers outlive a stage, so keys
-    are `owner:name` and only one owner's values are kept: the first use by another drops them.
+    Functions travel to the tasks by value, so their module globals are new in each task; a module
+    registered in the worker's own `sys.modules` is not.
     """
-    home = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state"))
-    owner = key.split(":")[0]
-    held = home.__dict__.setdefault("held", {})
+    return sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state")).__dict__.setdefault("held", {})
+
+
+def _give_back():
+    """Return freed memory to the system; Arrow's and the C library's allocators keep it otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def own_worker(owner: str) -> None:
+    """From here on the worker keeps values of `owner` only; those of other operators go."""
+    held = _held()
     if any(k.split(":")[0] != owner for k in held):
         held.clear()
+        _give_back()
+
+
+def worker_state(key: str, build):
+    """A value kept in a Python worker for its next tasks, such as a loaded tokenizer.
+
+    Workers outlive a stage, so keys are `owner:name` and only one owner's values are kept.
+    """
+    own_worker(key.split(":")[0])
+    held = _held()
     if key not in held:
         held[key] = build()
     return held[key]
 
 
+def tidy(owner: str, run):
+    """An Arrow function for tasks that drops other operators' values first and gives its memory back at the end."""
+
+    def tidied(batches):
+        own_worker(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 class Recent(dict):
     """Values by key in two generations: when one has `size` entries it becomes the old one.
 

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from topicweir.llm.common import worker_state
+from topicweir.llm.common import tidy, worker_state
 
 WINDOW = 10
 MAX_COVERAGE = 0.8
@@ -179,7 +179,7 @@ def _scan(blocks: list[tuple[str, list[tuple[str, str]]]], window: int):
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
-    return run
+    return tidy("automata", run)
 
 
 def _passes(items: DataFrame, block_bytes: int, pass_bytes: int):
@@ -266,4 +266,4 @@ def decontaminate(
     found = find_leaks(docs, items, window, **blocks)
     hits = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["begin"]))
     kept = found.filter((F.size("_spans") == 0) | (hits < F.lit(max_coverage) * F.col("_words")))
-    return kept.mapInArrow(_remove, kept.schema).select(*docs.columns)
+    return kept.mapInArrow(tidy("automata", _remove), kept.schema).select(*docs.columns)

@@ -18,7 +18,7 @@ it is already known to hang together, and no link between different components i
 
 from pyspark.sql import DataFrame, functions as F
 
-from topicweir.llm.common import WordHashes, sequence_hashes, worker_state
+from topicweir.llm.common import WordHashes, sequence_hashes, tidy, worker_state
 from topicweir.runtime import Scratch
 
 SHINGLE = 5
@@ -104,7 +104,7 @@ def _sketch(size: int, share: int):
 
         for batch in batches:
             keys, counts, high, low = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in (t.as_py() for t in batch.column("text")):
                 own = shingles_of(text or "", size)
                 keys.append(block_keys(own, share) if len(own) else own)
                 counts.append(len(own))
@@ -116,7 +116,7 @@ def _sketch(size: int, share: int):
                 names=["doc_id", "n_shingles", "set_high", "set_low", "keys"],
             )
 
-    return run
+    return tidy("word-hashes", run)
 
 
 def _groups(batches):
@@ -153,13 +153,13 @@ def _sets(size: int):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingles_of(t, size) for t in batch.column("text").to_pylist()]
+            sets = [shingles_of(t, size) for t in (t.as_py() for t in batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), _lists(sets), pa.array(map(bit_sketch, sets), pa.binary())],
                 names=["node", "shingles", "sketch"],
             )
 
-    return run
+    return tidy("word-hashes", run)
 
 
 def _verify(share: int):
@@ -177,7 +177,7 @@ def _verify(share: int):
             out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield out
 
-    return run
+    return tidy("word-hashes", run)
 
 
 def _across(share: int):
@@ -227,7 +227,7 @@ def _across(share: int):
         if held:
             yield from done(held)
 
-    return run
+    return tidy("word-hashes", run)
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -286,7 +286,7 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) ->
         sketches.join(nodes.select(F.col("node").alias("doc_id"), *a_set), ["doc_id", *a_set])
         .select(F.col("doc_id").cast("long").alias("node"), F.explode("keys").alias("key"))
     )
-    groups = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, node long, center long")
+    groups = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy("word-hashes", _groups), "key long, node long, center long")
     groups = scratch.table(groups, "groups")
     grouped = scratch.table(groups.select("node").distinct(), "grouped")
     sets = (

@@ -14,6 +14,7 @@ by (doc_id, hash of its text), or before in the same document.
 
 from pyspark.sql import DataFrame, functions as F
 
+from topicweir.llm.common import tidy
 from topicweir.runtime import Scratch
 
 WINDOW = 3
@@ -48,7 +49,7 @@ def _fingerprints(window: int, unit_words: int):
         odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             source, prints, starts, keys, sizes = [], [], [], [], [0]
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            for row, text in enumerate(t.as_py() for t in batch.column("text")):
                 _, units = line_units(text, window, unit_words)
                 n = len(units) - window + 1
                 if n < 1:
@@ -80,7 +81,7 @@ def _fingerprints(window: int, unit_words: int):
                 names=["print", "doc_id", "_hash", "starts", "keys"],
             )
 
-    return run
+    return tidy("line-dedup", run)
 
 
 def _delete(window: int, unit_words: int):
@@ -90,7 +91,7 @@ def _delete(window: int, unit_words: int):
 
         for batch in batches:
             texts, totals, removed = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("_starts").to_pylist()):
+            for text, starts in zip((t.as_py() for t in batch.column("text")), batch.column("_starts").to_pylist()):
                 lines = (text or "").split("\n")
                 totals.append(sum(1 for x in lines if x.strip()))
                 gone = set()
@@ -109,7 +110,7 @@ def _delete(window: int, unit_words: int):
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
-    return run
+    return tidy("line-dedup", run)
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, unit_words: int = UNIT_WORDS) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from topicweir.llm.common import Recent, load_tokenizer, text_rows, worker_state
+from topicweir.llm.common import Recent, load_tokenizer, text_rows, tidy, worker_state
 from topicweir.runtime import Scratch, literal_array
 
 LIMIT = 4096
@@ -101,7 +101,7 @@ def _cut(path: str, end_id: int, limit: int, units: int, filler: int, id_type):
         for batch in batches:
             out = {n: [] for n in names}
             source = []
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            for row, text in enumerate(t.as_py() for t in batch.column("text")):
                 ids = ids_of(text)
                 total = len(ids) // 4
                 for start in range(0, total, limit):
@@ -131,7 +131,7 @@ def _cut(path: str, end_id: int, limit: int, units: int, filler: int, id_type):
                 names=["doc_id", "part", *names, "text_hash"],
             )
 
-    return run
+    return tidy("packing", run)
 
 
 def _last_pieces(path: str, end_id: int, limit: int):
@@ -143,7 +143,7 @@ def _last_pieces(path: str, end_id: int, limit: int):
         ids_of = _word_ids(path, end_id)
         for batch in batches:
             tails = []
-            for text in batch.column("text").to_pylist():
+            for text in (t.as_py() for t in batch.column("text")):
                 ids = ids_of(text)
                 tails.append(ids[len(ids) // (4 * limit) * 4 * limit :])
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +151,7 @@ def _last_pieces(path: str, end_id: int, limit: int):
                 names=["_id", "_of", "tail"],
             )
 
-    return run
+    return tidy("packing", run)
 
 
 def best_pattern(prices: np.ndarray) -> tuple[float, np.ndarray]:
@@ -287,7 +287,7 @@ def _assign(slots):
                 axis=1,
             )
 
-    return run
+    return tidy("packing", run)
 
 
 def _running(df: DataFrame, value: str, *order: str, block: str) -> DataFrame:

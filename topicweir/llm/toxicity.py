@@ -12,7 +12,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from topicweir.llm.common import Recent
+from topicweir.llm.common import Recent, tidy
 from topicweir.runtime import Scratch
 
 MAX_ROWS = 12_000
@@ -96,7 +96,7 @@ def _coded(vocabulary: dict[str, int]):
             names = ["words", "lost", "gained"]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(codes(b.column(n)) for n in names)], names=["toxic", *names])
 
-    return run
+    return tidy("toxicity", run)
 
 
 def fit(rows, n_features: int, penalty: float, rounds: int = 250, decay: float = 3e-5, rate: float = 0.05):
@@ -143,7 +143,7 @@ def train(
     with Scratch(labelled.sparkSession, "toxicity") as scratch:
         sample = scratch.table(
             labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(
-                _sample, "toxic int, words array<string>, lost array<string>, gained array<string>"
+                tidy("toxicity", _sample), "toxic int, words array<string>, lost array<string>, gained array<string>"
             ),
             "sample",
         )
@@ -190,7 +190,7 @@ def _score(weights: dict[str, float], intercept: float):
             names = [n for n in batch.schema.names if n != "_score"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(scores, pa.float64())], names=[*names, "_score"])
 
-    return run
+    return tidy("toxicity", run)
 
 
 def fold(doc_id: str) -> Column:
