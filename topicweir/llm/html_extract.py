@@ -28,7 +28,7 @@ BODY_CHARS = 200_000  # of a sampled page, for fitting only
 # How elements behave by the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
-SILENT = RAW | set("head svg math select option button canvas object audio video map datalist".split())
+SILENT = RAW | set("head svg select option button canvas object audio video map datalist".split())
 BLOCK = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -56,7 +56,7 @@ _KIND_OF = {t: k for k, ts in TOKENS.items() for t in ts}
 _KINDS = list(TOKENS)
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/][^>]*(?:>|$)",
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>|<[a-zA-Z/][^>]*(?:>|$)",
     re.S,
 )
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -360,14 +360,24 @@ def lay_out(rng: random.Random, sentences: list[str]) -> tuple[str, str]:
     for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8, 12])):
         value = text(1, rng.choice([1, 3, 8]))
         kind = rng.random()
-        if kind < 0.8:
+        if kind < 0.66:
             body += keep("p", value)
-        elif kind < 0.87:
-            body += keep("h2", words(5)) + keep("p", value)
-        elif kind < 0.93:
-            body += "<ul>" + "".join(keep("li", text(1, 2)) for _ in range(rng.randint(2, 5))) + "</ul>"
-        else:
+        elif kind < 0.74:
+            body += keep(rng.choice(["h2", "h3"]), words(5)) + keep("p", value)
+        elif kind < 0.82:
+            kind_of_list = rng.choice(["ul", "ol"])
+            items = [keep("li", text(1, 2) if rng.random() < 0.5 else words(rng.randint(1, 6))) for _ in range(rng.randint(2, 6))]
+            body += f"<{kind_of_list}>{''.join(items)}</{kind_of_list}>"
+        elif kind < 0.86:
             body += "<blockquote>" + keep("p", value) + "</blockquote>"
+        elif kind < 0.92:
+            cells = rng.randint(2, 4)
+            lines = ["".join(keep("th" if i == 0 else "td", words(rng.randint(1, 4))) for _ in range(cells)) for i in range(rng.randint(2, 5))]
+            body += "<table>" + "".join(f"<tr>{line}</tr>" for line in lines) + "</table>"
+        elif kind < 0.96:
+            body += '<figure><img src="/i.png" alt="">' + keep("figcaption", words(rng.randint(2, 14))) + "</figure>"
+        else:
+            body += keep("pre", value)
         body += maybe("advert", 0.08) + maybe("side", 0.04) + maybe("form", 0.02)
     inner_comments = maybe("comment", 0.15)
     wrap = rng.choice(["<article{c}>{b}</article>", "<main{c}>{b}</main>", "<div{c}>{b}</div>", "<section{c}>{b}</section>", "<main><article{c}>{b}</article></main>"])
