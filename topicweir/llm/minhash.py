@@ -7,9 +7,9 @@ sets need only a few, and two sets agree in a coordinate with a probability equa
 similarity, all coordinates together close to it with the concentration of independent ones.
 Bands of five coordinates make the keys: 51 bands miss a pair of similarity 0.8 once in 6e8.
 
-Equal sets are one node. All nodes of a key are first compared with the least one: by sketch, then
-exactly; links give components. Nodes of keys that then still hold several components are compared
-with further centers, another one in each round, which leaves few such keys. Those are dealt into
+Equal sets are one node. Each node is first compared with the least one of all that share a key with
+it: by sketch, then exactly; links give components. Nodes of keys that then still hold several
+components are compared with further centers, other ones in each round. Keys that are left are dealt into
 tiles of bounded size; pairs of tiles are spread over tasks, where pairs of different components
 are compared by size and sketch, and what stays is verified on the full sets. A pair that shares
 several bands is taken in the first of them only.
@@ -28,6 +28,7 @@ BAND = 5
 # At a similarity of 0.8 the agreeing coordinates have mean 205 and deviation 6.4; 170 is 5.4 below.
 AGREEING = 170
 ROUNDS = 3  # of further centers
+CENTERS = 2  # that a node is compared with in a round; what they leave is compared in tiles
 TILE = 512
 SLICE = 1 << 20  # shingles sketched at a time
 
@@ -291,20 +292,24 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
     owned = known.select("doc_id", *a_set).join(nodes, a_set).select("doc_id", "node")
     spread = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most")
     same = owned.join(spread.select("doc_id", "a"), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
-    star = linked(met.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")), "star")
+    star = met.groupBy("node").agg(F.min("center").alias("a")).filter("a < node").select("a", F.col("node").alias("b"))
+    star = linked(star, "star")
     comps = components(scratch, scratch.table(star.unionByName(same), "links"), "comps-0")
     for turn in range(1, ROUNDS + 1):
-        live = mixed(comps, f"placed-{turn}").filter("members > 2")
-        # One order for all keys of a round: keys of one family mostly have the same center.
+        live = mixed(comps, f"placed-{turn}")
+        # One order for all keys of a round: keys of one family mostly have the same center. A node
+        # has at most as many centers as bands, of which it takes the first ones in that order.
         order = F.xxhash64("node", F.lit(turn))
-        center = live.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("center"))
+        center = live.groupBy("key").agg(F.min(F.struct(order.alias("place"), "node", "comp")).alias("center"))
         pairs = live.join(center, "key").filter(F.col("comp") != F.col("center.comp"))
-        more = linked(pairs.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")), f"links-{turn}")
+        near = F.slice(F.sort_array(F.collect_set(F.struct("center.place", "center.node"))), 1, CENTERS)
+        pairs = pairs.groupBy("node").agg(near.alias("near")).select("node", F.explode("near.node").alias("other"))
+        more = linked(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), f"links-{turn}")
         comps = components(scratch, comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more), f"comps-{turn}")
         scratch.drop(f"placed-{turn}")
 
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    dealt = mixed(comps, "placed").filter("members > 2").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")})
+    dealt = mixed(comps, "placed").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")})
     cross = (
         dealt.join(light, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
