@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from topicweir.llm import pii
 from topicweir.llm.pii import KINDS, find_pii, pii_report
 
 PATTERNS = {
@@ -76,3 +77,12 @@ def test_many_matches_in_one_text(spark):
     row = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert len(row.base) == 16_000
     assert all(text[s.start : s.end] == f"user{i}@host{i}.org" for i, s in enumerate(row.base))
+
+
+def test_trees_learn_from_every_known_candidate(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(pii, "_model", lambda known: seen.update(known.groupBy("label").agg({"n": "sum"}).collect()))
+    texts = [" ".join(f"a{i}.{j}@b.org 10.{i}.{j % 256}.999" for j in range(600)) for i in range(40)]
+    find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    # A bad address is a match that its rule rejects and a proposal too.
+    assert seen == {1.0: 24_000, 0.0: 48_000}

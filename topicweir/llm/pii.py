@@ -3,9 +3,9 @@
 Fixed patterns give the base spans of four kinds; they always stay. High-recall generators
 propose further, overlapping spans: cards and numbers inside longer runs of digits, phone numbers
 without a plus sign or run together with what follows, addresses written with "at" and "dot".
-Boosted trees are fitted on a bounded sample of candidates whose label is known: those that are a
-base span, against those that a pattern proposes and a rule rejects. They see the format and the
-context of a candidate; a threshold calibrated on the held-out half of the sample selects further
+Boosted trees are fitted on the candidates whose label is known: those that are a base span,
+against those that a pattern proposes and a rule rejects. They see the format and the context of
+a candidate; a threshold calibrated on the held-out half of all known candidates selects further
 spans, the best ones first and none that overlaps another span of its kind.
 """
 
@@ -45,7 +45,6 @@ PROPOSAL_GATES = [
 ]
 
 CONTEXT = 24
-MAX_SAMPLE = 20_000
 MIN_PRECISION = 0.98
 TREES = 8
 DEPTH = 4
@@ -162,18 +161,21 @@ def _features(c: DataFrame) -> DataFrame:
 
 
 def _model(known: DataFrame):
-    """Boosted trees and the least score at which the held-out half is right often enough, or None."""
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Boosted trees and the least score at which the held-out half is right often enough, or None.
+
+    A row of `known` stands for `n` candidates.
+    """
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if len(counts) < 2 or min(counts.values()) < 20:
         return None
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(assembled.filter("NOT held_out"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="n").fit(assembled.filter("NOT held_out"))
     scored = model.transform(assembled.filter("held_out")).select(
-        "label", F.round(vector_to_array("probability")[1], 2).alias("score")
+        "n", (F.col("n") * F.col("label")).alias("good"), F.round(vector_to_array("probability")[1], 2).alias("score")
     )
     # Scores are rounded to hundredths, so this is at most 101 rows.
     steps = sorted(
-        ((r.score, r.n, r.good) for r in scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()),
+        ((r.score, r.n, r.good) for r in scored.groupBy("score").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()),
         reverse=True,
     )
     least, n, good = None, 0, 0.0
@@ -185,7 +187,7 @@ def _model(known: DataFrame):
     return None if least is None else (model, max(0.5, least))
 
 
-def find_pii(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def find_pii(docs: DataFrame) -> DataFrame:
     """`doc_id`, `base` and `spans` (arrays of kind, start, end, sorted by start and kind) of every row.
 
     `docs` needs `doc_id` and `text`; other columns are ignored. Null texts are empty. Every input row
@@ -205,10 +207,8 @@ def find_pii(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
         "label",
         F.when(F.col("origin") == 0, 1.0).when((F.col("origin") == 1) | ~valid(F.col("kind"), F.col("hit")), 0.0),
     ).filter("label IS NOT NULL")
-    total = known.count()
-    turn = F.pmod(F.xxhash64("hit", "before"), F.lit(1 << 20))
-    share = min(1.0, max_sample / max(1, total))
-    known = known.filter(turn < int(share * (1 << 20))).withColumn("held_out", F.pmod(F.xxhash64("hit"), F.lit(2)) == 1)
+    # Trees see the features alone, so candidates alike in them are one row with their number as weight.
+    known = known.groupBy(*FEATURES, "label", (F.pmod(F.xxhash64("hit"), F.lit(2)) == 1).alias("held_out")).agg(F.count("*").alias("n"))
     fitted = _model(scratch.table(known, "known"))
 
     order = {k: i for i, k in enumerate(KINDS)}
