@@ -45,6 +45,23 @@ def test_vocabulary_equals_brute_force(spark, monkeypatch, top, buckets, n_max):
     assert [(a, b) for a, b in zip(got.tf, got.df)] == [(tf[t], doc[t]) for t in terms]
 
 
+def test_tasks_hand_on_counts_and_not_places(monkeypatch):
+    monkeypatch.setattr(features, "SLICE", 7)
+    rows = [["a", "b", "c"], [], ["a", "b", "c", "a", "b"] * 4, ["c"], ["ab", "c"]] * 3
+    batch = features.pa.RecordBatch.from_arrays([features.pa.array(rows, features.pa.list_(features.pa.string()))], names=["_n1"])
+    grams = [[tuple(r[i : i + n]) for n in (1, 2, 3) for i in range(len(r) - n + 1)] for r in rows]
+    (buckets,) = features._bucket_counts(3, 64)([batch, batch])
+    assert len(set(buckets["bucket"].to_pylist())) == len(buckets) <= len({g for gs in grams for g in gs})
+    assert sum(buckets["n"].to_pylist()) == 2 * sum(map(len, grams))
+    tf, df = Counter(), Counter()
+    for counted in features._marked_grams({n: range(64) for n in (1, 2, 3)}, 64)([batch]):
+        for r in counted.to_pylist():
+            tf[r["term"]] += r["tf"]
+            df[r["term"]] += r["df"]
+    assert tf == Counter(" ".join(g) for gs in grams for g in gs)
+    assert df == Counter(" ".join(g) for gs in grams for g in set(gs))
+
+
 def test_no_terms_is_an_error(spark):
     with pytest.raises(ValueError):
         features.fit_vocabulary(spark.createDataFrame([("one",), ("two",)], "text string"))
