@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicweir.operators import dataset, extraction
 from topicweir.plans.batch_job import batch_classify, classify_decks
+from topicweir.plans import deck_rows
 from topicweir.plans.deck_rows import PNG_MAGIC, pack_deck
 from topicweir.sources import decks, sinks
 from topicweir.sources.dictionary import KeywordDictionary
@@ -145,3 +146,16 @@ def test_stream_scores_each_file_once(spark, folder, tmp_path):
     classify_stream(spark, source, out, mark, WORDS).awaitTermination()
     got = [(r.path.rsplit("/", 1)[1], r.subject, r.batch) for r in spark.read.parquet(out).collect()]
     assert sorted(got) == [("a.pptx", "数学", 0), ("b.pptx", "物理", 1)]
+
+
+def test_decks_leave_the_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(deck_rows, "BATCH_BYTES", 20_000)
+    texts = ["\n".join(f"line {i}.{k}" for k in range(20)) for i in range(12)]
+    columns = [[f"{i}.pptx" for i in range(12)], texts, [i == 7 for i in range(12)]]
+    batch = deck_rows.pa.RecordBatch.from_arrays([deck_rows.pa.array(c) for c in columns], names=["path", "text", "broken"])
+    batches = list(deck_rows._packed([batch]))
+    most = max(len(pack_deck(t.split("\n"))) for t in texts)
+    assert len(batches) > 2 and all(b.nbytes < 20_000 + most + 1_000 for b in batches)
+    got = {r["path"]: r["content"] for b in batches for r in b.to_pylist()}
+    assert len(got) == 12 and got["7.pptx"] == b"not an archive"
+    assert len(decks._read_slides("3.pptx", got["3.pptx"], 50)[1]) == 20

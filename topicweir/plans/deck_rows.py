@@ -2,11 +2,13 @@
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType
+
+from topicweir.sources.decks import BATCH_BYTES
 
 # --- fixed values: smallest slide markup the deck readers need -------------------------
 SLIDE_XML = (
@@ -32,14 +34,26 @@ def pack_deck(lines: list[str]) -> bytes:
     return buffer.getvalue()
 
 
-@F.pandas_udf(BinaryType())
-def _packed(texts: pd.Series, broken: pd.Series) -> pd.Series:
-    return pd.Series(
-        [b"not an archive" if bad else pack_deck(text.split("\n")) for text, bad in zip(texts, broken)]
-    )
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decks of texts, handed on whenever a few megabytes are packed; decks are far larger than their texts."""
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(packed, pa.binary())], names=["path", "content"])
+
+    paths, packed, held = [], [], 0
+    for batch in batches:
+        for path, text, bad in zip(*batch.columns):
+            paths.append(path.as_py())
+            packed.append(b"not an archive" if bad.as_py() else pack_deck(text.as_py().split("\n")))
+            held += len(packed[-1])
+            if held > BATCH_BYTES:
+                yield flush()
+                paths, packed, held = [], [], 0
+    yield flush()
 
 
 def document_decks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", broken: str = "broken") -> DataFrame:
     """(path, content) with one deck per document, a slide per line; `broken` ones are no archive."""
     path = F.concat(F.lit("decks/"), F.col(id_col).cast("string"), F.lit(".pptx"))
-    return docs.select(path.alias("path"), _packed(F.col(text), F.col(broken)).alias("content"))
+    rows = docs.select(path.alias("path"), F.col(text).alias("text"), F.col(broken).alias("broken"))
+    return rows.mapInArrow(_packed, "path string, content binary")
