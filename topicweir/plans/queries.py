@@ -267,8 +267,7 @@ def model_save_load(spark, sf):
     path = fresh_path(spark, "model")
     sinks.save_model(features.tfidf_pipeline(features.fit_vocabulary(docs, **VOCABULARY)), path)
     loaded = sinks.load_model(path).transform(docs)
-    weights = features.vector_to_array("tfidf")
-    return loaded.select("doc_id", F.size(F.filter(weights, lambda w: w > 0)).alias("terms"))
+    return loaded.select("doc_id", F.size(F.filter(features.entries("tfidf"), lambda c: c["value"] > 0)).alias("terms"))
 
 
 # --- text ------------------------------------------------------------------------------------
