@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from topicweir.llm import packing
 from topicweir.llm.packing import best_pattern, cutting_stock, fullest, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -109,3 +110,17 @@ def test_patterns_cover_the_demand_and_come_near_the_bound(seed):
 
 def test_no_demand():
     assert cutting_stock(np.zeros(8, dtype=np.int64)) == []
+
+
+def test_words_are_held_once_for_all_their_chunks(monkeypatch):
+    from topicweir.llm import common
+
+    made = []
+    monkeypatch.setattr(packing, "Recent", lambda make, size: made.append(common.Recent(make, size)) or made[-1])
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 4)
+    ids_of = packing._build_word_ids(PATH, 2)
+    text = "Straße straße, STRASSE. word Word word, WORD. a.b , . 12, 東京  été\nété, Été. ẞ İ"
+    tokenizer = common.load_tokenizer(PATH, "packing")
+    for _ in range(3):
+        assert np.frombuffer(ids_of(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert len(made) == 1

@@ -15,6 +15,7 @@ Only the histogram (at most UNITS rows) and the patterns (about as many) are on
 """
 
 import re
+import struct
 
 import numpy as np
 from pyspark import TaskContext
@@ -26,7 +27,7 @@ from topicweir.runtime import Scratch, literal_array
 LIMIT = 4096
 UNITS = 256
 FILLER = 16
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 200_000
 
 _PIECES = (
     "doc_id {kind}, part int, doc_tokens long, start long, length long, ids_crc32 long, "
@@ -47,32 +48,35 @@ def _word_ids(path: str, end_id: int):
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     chunks in turn. A chunk of Latin letters, with or without one full stop or comma behind it,
     is one word for the tokenizer, in lower case; such words go straight to its merge model.
-    Caches only save time.
+    A chunk that is a word but for capitals or its mark takes the ids of that word from the same cache,
+    which only saves time.
     """
     return worker_state(f"packing:ids:{path}:{end_id}", lambda: _build_word_ids(path, end_id))
 
 
 def _build_word_ids(path: str, end_id: int):
     tokenizer = load_tokenizer(path, "packing")
-    end = np.array([end_id], dtype="<u4").tobytes()
     merge = tokenizer.model.tokenize
     is_word = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
     letters = _byte_letters()
 
-    def encoded(chunk: str) -> bytes:
-        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def word_ids(word: str) -> bytes:
-        written = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
-        return np.array([t.id for t in merge(written)], dtype="<u4").tobytes()
+    def encoded(chunk: str) -> bytes:
+        return packed(tokenizer.encode(chunk, add_special_tokens=False).ids)
 
+    end = packed([end_id])
     marks = {m: encoded(m) for m in ",."} | {"": b""}
-    words = Recent(word_ids, CACHE_ENTRIES)
 
     def chunk_ids(chunk: str) -> bytes:
         mark = chunk[-1:] if chunk[-1:] in marks else ""
         word = chunk[: len(chunk) - len(mark)].lower()
-        return words[word] + marks[mark] if is_word(word) else encoded(chunk)
+        if not is_word(word):
+            return encoded(chunk)
+        if word != chunk:
+            return chunks[word] + marks[mark]
+        return packed([t.id for t in merge(word if word.isascii() else "".join(map(letters.__getitem__, word.encode())))])
 
     chunks = Recent(chunk_ids, CACHE_ENTRIES)
 
