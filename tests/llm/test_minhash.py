@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.test_jaccard_join import edited, shingle_set
+from topicweir.llm import minhash
 from topicweir.llm.jaccard_join import shingles_of
 from topicweir.llm.minhash import AGREEING, COORDINATES, band_keys, near_copies, sketch
 
@@ -71,6 +73,42 @@ def test_a_key_of_many_unlinked_nodes(spark):
     assert got == {i: i - i % 2 if i < 200 else i for i in range(1300)}
 
 
+def test_pairs_merely_alike_are_no_rows(spark, monkeypatch):
+    """Texts all alike, but less than they would have to be: no step makes a row for each pair."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(72))
+    tails = [[f"t{rng.randrange(10**6)}" for _ in range(14)] for _ in range(300)]
+    for i in range(0, 40, 2):
+        tails[i + 1] = tails[i][:10] + ["q", "r", "s", "t"]
+    rows = [(i, passage + " " + " ".join(t)) for i, t in enumerate(tails)]
+    made = {}
+
+    class Counted(minhash.Scratch):
+        def table(self, df, name):
+            out = super().table(df, name)
+            made[name] = out.count()
+            return out
+
+    monkeypatch.setattr(minhash, "Scratch", Counted)
+    got = {r[0]: r[2] for r in result(near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))}
+    assert got == {i: i - i % 2 if i < 40 else i for i in range(300)}
+    assert made["star-alike"] > 200 and max(made.values()) <= 51 * 300
+
+
+def test_partners_of_a_key_that_agree_by_chance_in_bytes_elsewhere():
+    """Bytes of an earlier band may all agree where its key does not; the pair is still compared in this key."""
+    sketch_bytes = bytes(range(256))
+    shingles = list(range(100))
+    rows = [(9, 0, 0, 0, node, node, 100, sketch_bytes, [*shingles[:95], *range(1000 * node, 1000 * node + 5)]) for node in (1, 2, 3)]
+    rows.append((9, 0, 0, 0, 4, 4, 100, sketch_bytes, [*shingles[:60], *range(4000, 4040)]))
+    names = ["key", "low", "high", "tile", "comp", "node", "size", "sketch", "shingles"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    near = list(minhash._with_partner(80)(iter([batch.slice(0, 1), batch.slice(1)])))
+    assert sum(map(len, near)) == 4
+    found = [tuple(r.values()) for b in minhash._joining(80)(iter(near)) for r in b.to_pylist()]
+    assert found == [(1, 2), (1, 3)]
+
+
 def test_sketches_fill_and_agree():
     rng = random.Random(1)
     for n in (1, 2, 3, 5, 17, 100, 1000, 5000):

@@ -11,8 +11,9 @@ Equal sets are one node. Each node is first compared with the least one of all t
 it: by sketch, then exactly; links give components. Nodes of keys that then still hold several
 components are compared with further centers, other ones in each round. Keys that are left are dealt into
 tiles of bounded size; pairs of tiles are spread over tasks, where pairs of different components
-are compared by size and sketch, and what stays is verified on the full sets. A pair that shares
-several bands is taken in the first of them only.
+are compared by size and sketch. Nodes with a partner there meet once more in the same pair of
+tiles, now with their full sets, and of the pairs that link only those come out that join two
+components. So no row is made for a pair that is merely alike, however many there are.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +31,7 @@ AGREEING = 170
 ROUNDS = 3  # of further centers
 CENTERS = 2  # that a node is compared with in a round; what they leave is compared in tiles
 TILE = 512
+HEAVY = 1 << 20  # shingles of a tile, unless one set alone has more
 SLICE = 1 << 20  # shingles sketched at a time
 
 
@@ -183,52 +185,92 @@ def _alike(share: int):
     return run
 
 
-def _across(share: int):
-    """Rows of tile pairs, in order -> pairs of different components that may link."""
+def _units(batches):
+    """The rows of one pair of tiles at a time, as an Arrow table."""
+    import numpy as np
+    import pyarrow as pa
+
+    current, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        unit = np.column_stack([batch.column(c).to_numpy() for c in ("key", "low", "high")])
+        cuts = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(unit)]):
+            if held and (unit[begin] != current).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            current = unit[begin].copy()
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def pairs(own, other, band, comp, node, size, bits):
-        import numpy as np
 
-        good = comp[own][:, None] != comp[other][None]
-        m, n = size[own][:, None], size[other][None]
-        good &= 100 * np.minimum(m, n) >= share * np.maximum(m, n)
-        if own is other:
-            good = np.triu(good, 1)
-        x, y = np.nonzero(good)
-        for at in range(0, len(x), 4096):
-            a, b = own[x[at : at + 4096]], other[y[at : at + 4096]]
-            same = bits[a] == bits[b]
-            ok = same.sum(axis=1) >= AGREEING
-            if band:
-                ok &= ~same[:, : band * BAND].reshape(len(a), band, BAND).all(axis=2).any(axis=1)
-            yield np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]
+def _partners(unit, share: int):
+    """Pairs of rows, the first ones in order, that are of different components and may link by size and sketch."""
+    import numpy as np
+
+    tile, comp, size = (unit.column(c).to_numpy() for c in ("tile", "comp", "size"))
+    bits = _bytes_matrix(unit.column("sketch"))
+    low, high = unit.column("low")[0].as_py(), unit.column("high")[0].as_py()
+    own, other = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+    good = comp[own][:, None] != comp[other][None]
+    m, n = size[own][:, None], size[other][None]
+    good &= 100 * np.minimum(m, n) >= share * np.maximum(m, n)
+    if low == high:
+        good = np.triu(good, 1)
+    x, y = np.nonzero(good)
+    x, y = own[x], other[y]
+    alike = [(bits[x[at : at + 4096]] == bits[y[at : at + 4096]]).sum(axis=1) >= AGREEING for at in range(0, len(x), 4096)]
+    alike = np.concatenate(alike) if alike else np.zeros(0, bool)
+    return x[alike], y[alike]
+
+
+def _with_partner(share: int):
+    """Rows of tile pairs, in order -> those that may link with another of their tile pair."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def done(unit, parts):
-            band, tile, comp, node, size, bits = (np.concatenate(p) for p in zip(*parts))
-            first = np.flatnonzero(tile == unit[1])
-            other = first if unit[1] == unit[2] else np.flatnonzero(tile == unit[2])
-            for a, b in pairs(first, other, int(band[0]), comp, node, size, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for unit in _units(batches):
+            met = np.zeros(len(unit), bool)
+            for rows in _partners(unit, share):
+                met[rows] = True
+            yield from unit.filter(pa.array(met)).to_batches()
+
+    return run
 
-        current, held = None, []
-        for batch in batches:
-            if not len(batch):
-                continue
-            unit = np.column_stack([batch.column(c).to_numpy() for c in ("key", "low", "high")])
-            columns = [batch.column(c).to_numpy() for c in ("band", "tile", "comp", "node", "size")] + [_bytes_matrix(batch.column("sketch"))]
-            cuts = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
-            for begin, end in zip([0, *cuts], [*cuts, len(unit)]):
-                if held and (unit[begin] != current).any():
-                    yield from done(current, held)
-                    held = []
-                current = unit[begin].copy()
-                held.append([c[begin:end] for c in columns])
-        if held:
-            yield from done(current, held)
+
+def _joining(share: int):
+    """Rows of tile pairs with full sets, in order -> pairs that link, as many as join the components."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for unit in _units(batches):
+            x, y = _partners(unit, share)
+            node, group, size = unit.column("node").to_numpy(), unit.column("comp").to_numpy().copy(), unit.column("size").to_numpy()
+            known, ranks = np.unique(unit.column("shingles").combine_chunks().flatten().to_numpy(), return_inverse=True)
+            sets = np.split(ranks, np.cumsum(size)[:-1])
+            inside = np.zeros(len(known), np.int32)
+            found = []
+            firsts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else []
+            for begin, end in zip(firsts, [*firsts[1:], len(x)]):
+                one, others = x[begin], y[begin:end]
+                others = others[group[others] != group[one]]
+                if not len(others):
+                    continue
+                inside[sets[one]] = 1
+                both = np.add.reduceat(inside[np.concatenate([sets[i] for i in others])], np.r_[0, np.cumsum(size[others])[:-1]])
+                inside[sets[one]] = 0
+                others = others[100 * both >= share * (size[one] + size[others] - both)]
+                groups, at = np.unique(group[others], return_index=True)
+                found += [(min(node[one], node[i]), max(node[one], node[i])) for i in others[at]]
+                group[np.isin(group, groups)] = group[one]
+            if found:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.array(found, np.int64).T)), names=["a", "b"])
 
     return run
 
@@ -256,9 +298,9 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
     node_rows = scratch.table(node_rows, "node-rows")
     nodes = node_rows.select(*a_set, "node")
 
-    entries = node_rows.select("node", F.posexplode("keys").alias("band", "key"))
+    entries = node_rows.select("node", F.explode("keys").alias("key"))
     centers = entries.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1")
-    met = scratch.table(entries.join(centers, "key"), "met")
+    met = scratch.table(entries.join(centers.drop("members"), "key"), "met")
     light = node_rows.select("node", F.col("n_shingles").alias("size"), "sketch")
 
     # Full sets of all nodes that meet another; a row repeated many times is one text first.
@@ -283,7 +325,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
 
     def mixed(comps: DataFrame, name: str) -> DataFrame:
         """Rows of the keys that hold several components."""
-        placed = met.join(comps, "node", "left").select("key", "band", "node", "members", F.coalesce("comp", "node").alias("comp"))
+        placed = met.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         placed = scratch.table(placed, name)
         several = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
         return placed.join(several.select("key"), "key")
@@ -308,21 +350,34 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
         comps = components(scratch, comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more), f"comps-{turn}")
         scratch.drop(f"placed-{turn}")
 
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    dealt = mixed(comps, "placed").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")})
+    dealt = scratch.table(mixed(comps, "placed").join(light, "node"), "dealt")
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / HEAVY)).cast("int")
+    dealt = dealt.join(dealt.groupBy("key").agg(tiles.alias("tiles")), "key")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    unit = ["key", "low", "high"]
+    columns = [*unit, "tile", "comp", "node", "size", "sketch"]
+    kinds = "key long, low int, high int, tile int, comp long, node long, size long, sketch binary"
+    near = (
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+        .select(*columns)
+        .repartition(*unit)
+        .sortWithinPartitions(*unit)
+        .mapInArrow(_with_partner(share), kinds)
+    )
     cross = (
-        dealt.join(light, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "band", "tile", "comp", "node", "size", "sketch")
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_across(share), "a long, b long")
+        near.join(sets, "node")
+        .filter(F.size("shingles") == F.col("size"))  # an id may stand for several sets
+        .select(*columns, "shingles")
+        .repartition(*unit)
+        .sortWithinPartitions(*unit)
+        .mapInArrow(_joining(share), "a long, b long")
     )
-    # Bytes may agree where coordinates do not, so a pair can come twice.
-    cross = scratch.table(cross.distinct(), "cross")
+    cross = scratch.table(cross, "links-cross")
     scratch.drop("met")
     scratch.drop("placed")
-    last = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(verified(cross, "links-cross"))
+    scratch.drop("dealt")
+    last = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(cross)
     final = components(scratch, last, "final")
     scratch.drop("sets")
     named = nodes.join(final, "node", "left").select(*a_set, F.coalesce("comp", "node").alias("component_id"))
