@@ -109,6 +109,48 @@ def test_partners_of_a_key_that_agree_by_chance_in_bytes_elsewhere():
     assert found == [(1, 2), (1, 3)]
 
 
+def test_a_pair_of_several_keys_is_taken_in_the_first_one():
+    """Nodes that share many keys meet in each, but go on with their full sets from the first only."""
+    sketch_bytes = bytes(range(256))
+    keys = {1: [11, 12, 13], 2: [11, 12, 13], 3: [31, 12, 13], 4: [41, 42, 13]}
+    names = ["key", "low", "high", "tile", "comp", "node", "size", "sketch", "keys"]
+    kept = []
+    for key in (11, 12, 13):
+        rows = [(key, 0, 0, 0, node, node, 100, sketch_bytes, of) for node, of in keys.items() if key in of]
+        for out in minhash._with_partner(80)(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])])):
+            unit = pa.Table.from_batches([out])
+            node = out.column("node").to_pylist()
+            kept += [(key, node[i], node[j]) for i, j in zip(*minhash._partners(unit, 80))]
+    assert kept == [(11, 1, 2), (12, 1, 3), (12, 2, 3), (13, 1, 4), (13, 2, 4), (13, 3, 4)]
+
+
+def test_rows_with_full_sets_are_few_in_a_group_of_near_copies(spark, monkeypatch):
+    """Near copies of one text share many keys; their sets are not shipped once per key and tile."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base, 9))) for i in range(900)]
+    seen = spark.sparkContext.accumulator(0)
+    joining = minhash._joining
+
+    def counted(share):
+        run = joining(share)
+
+        def count(batches):
+            def each():
+                for batch in batches:
+                    seen.add(len(batch))
+                    yield batch
+
+            yield from run(each())
+
+        return count
+
+    monkeypatch.setattr(minhash, "_joining", counted)
+    got = result(near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert got == expected(rows)
+    assert 0 < seen.value < 16 * len(rows)
+
+
 def test_sketches_fill_and_agree():
     rng = random.Random(1)
     for n in (1, 2, 3, 5, 17, 100, 1000, 5000):

@@ -11,9 +11,10 @@ Equal sets are one node. Each node is first compared with the least one of all t
 it: by sketch, then exactly; links give components. Nodes of keys that then still hold several
 components are compared with further centers, other ones in each round. Keys that are left are dealt into
 tiles of bounded size; pairs of tiles are spread over tasks, where pairs of different components
-are compared by size and sketch. Nodes with a partner there meet once more in the same pair of
-tiles, now with their full sets, and of the pairs that link only those come out that join two
-components. So no row is made for a pair that is merely alike, however many there are.
+are compared by size and sketch, each pair in the first key that both share. Nodes with a partner
+there meet once more in the same pair of tiles, now with their full sets, and of the pairs that
+link only those come out that join two components. So no row is made for a pair that is merely
+alike, however many there are, and no full set for each key of a node.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,8 +31,9 @@ BAND = 5
 AGREEING = 170
 ROUNDS = 3  # of further centers
 CENTERS = 2  # that a node is compared with in a round; what they leave is compared in tiles
-TILE = 512
+TILE = 2048
 HEAVY = 1 << 20  # shingles of a tile, unless one set alone has more
+PAIRS = 1 << 20  # compared at a time in a pair of tiles
 SLICE = 1 << 20  # shingles sketched at a time
 
 
@@ -207,23 +209,38 @@ def _units(batches):
 
 
 def _partners(unit, share: int):
-    """Pairs of rows, the first ones in order, that are of different components and may link by size and sketch."""
+    """Pairs of rows, the first ones in order, that are of different components and may link by size and sketch.
+
+    Where rows have all their keys, a pair is taken in the first key that both share, and in no other.
+    """
     import numpy as np
 
     tile, comp, size = (unit.column(c).to_numpy() for c in ("tile", "comp", "size"))
     bits = _bytes_matrix(unit.column("sketch"))
-    low, high = unit.column("low")[0].as_py(), unit.column("high")[0].as_py()
+    keys = unit.column("keys").combine_chunks().flatten().to_numpy().reshape(len(unit), -1) if "keys" in unit.column_names else None
+    key, low, high = (unit.column(c)[0].as_py() for c in ("key", "low", "high"))
     own, other = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-    good = comp[own][:, None] != comp[other][None]
-    m, n = size[own][:, None], size[other][None]
-    good &= 100 * np.minimum(m, n) >= share * np.maximum(m, n)
-    if low == high:
-        good = np.triu(good, 1)
-    x, y = np.nonzero(good)
-    x, y = own[x], other[y]
-    alike = [(bits[x[at : at + 4096]] == bits[y[at : at + 4096]]).sum(axis=1) >= AGREEING for at in range(0, len(x), 4096)]
-    alike = np.concatenate(alike) if alike else np.zeros(0, bool)
-    return x[alike], y[alike]
+    found = [(own[:0], own[:0])]
+    step = max(1, PAIRS // max(1, len(other)))
+    for begin in range(0, len(own), step):
+        part = own[begin : begin + step]
+        good = comp[part][:, None] != comp[other][None]
+        m, n = size[part][:, None], size[other][None]
+        good &= 100 * np.minimum(m, n) >= share * np.maximum(m, n)
+        if low == high:
+            good &= part[:, None] < other[None]
+        x, y = np.nonzero(good)
+        x, y = part[x], other[y]
+        for at in range(0, len(x), 4096):
+            i, j = x[at : at + 4096], y[at : at + 4096]
+            alike = (bits[i] == bits[j]).sum(axis=1) >= AGREEING
+            i, j = i[alike], j[alike]
+            if keys is not None:
+                first = (keys[i] == keys[j]).argmax(axis=1)
+                here = keys[i, first] == key
+                i, j = i[here], j[here]
+            found.append((i, j))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _with_partner(share: int):
@@ -350,13 +367,14 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Dat
         comps = components(scratch, comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more), f"comps-{turn}")
         scratch.drop(f"placed-{turn}")
 
-    dealt = scratch.table(mixed(comps, "placed").join(light, "node"), "dealt")
+    dealt = mixed(comps, "placed").join(node_rows.select("node", F.col("n_shingles").alias("size"), "sketch", "keys"), "node")
+    dealt = scratch.table(dealt, "dealt")
     tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / HEAVY)).cast("int")
     dealt = dealt.join(dealt.groupBy("key").agg(tiles.alias("tiles")), "key")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     unit = ["key", "low", "high"]
-    columns = [*unit, "tile", "comp", "node", "size", "sketch"]
-    kinds = "key long, low int, high int, tile int, comp long, node long, size long, sketch binary"
+    columns = [*unit, "tile", "comp", "node", "size", "sketch", "keys"]
+    kinds = "key long, low int, high int, tile int, comp long, node long, size long, sketch binary, keys array<long>"
     near = (
         dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
