@@ -2,7 +2,10 @@ import random
 
 import pytest
 
+from conftest import plan_of
+from topicweir.operators import similarity
 from topicweir.operators.similarity import similar_pairs
+from topicweir.runtime import literal_array
 
 
 @pytest.mark.parametrize("threshold", [0.05, 0.3, 0.8, 1.0])
@@ -32,3 +35,23 @@ def test_threshold_range(spark):
     for bad in (0, 1.1):
         with pytest.raises(ValueError):
             similar_pairs(df, df, bad)
+
+
+def test_a_right_table_too_large_to_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join(f"word{(i * k) % 11}" for k in range(6))) for i in range(40)]
+    left = spark.createDataFrame(rows, "doc_id long, text string")
+    right = spark.createDataFrame(rows[::2], "item_id long, text string")
+    want = sorted(map(tuple, similar_pairs(left, right, 0.5).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST", 0)
+    assert want and sorted(map(tuple, similar_pairs(left, right, 0.5).collect())) == want
+
+
+def test_prefixes_without_a_shuffle_and_without_tokens_of_one_side(spark):
+    one = spark.createDataFrame([(1, ["a", "b", "c", "d"], 4), (2, ["a", "b"], 2), (3, ["x"], 1)], "id long, tokens array<string>, size int")
+    two = spark.createDataFrame([(7, ["b", "a", "y"], 3)], "id long, tokens array<string>, size int")
+    order = literal_array(similarity._order(one, two), "int")
+    rows = similarity._prefixes(one, order, 0.5)
+    assert "Exchange" not in plan_of(rows)
+    # c and d are on one side only, so they come first, and no partner can hold them
+    assert sorted((r.id, r.token) for r in similarity._prefixes(one, order, 0.1).collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    assert len(rows.collect()) == 3 and {r.id for r in rows.collect()} == {1, 2}
