@@ -86,3 +86,19 @@ def test_lattice_refuses_frequency_zero():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_paths_of_known_islands_and_of_long_ones(column):
+    """Islands in the constant table and longer ones, next to letters outside the plane of two-byte letters."""
+    terms = {"ab": 5, "ba": 9, "abc": 2, "cab": 7, "𠀀a": 3}
+    runs = ["abab", "abababababab", "xabyz", "cabcabcab", "𠀀abx𠀀𠀁a", "xyz", "ab", "bacabxba+"]
+    got = column(lambda c: tx.segment_chinese(c, terms, stop=(), chars="a-z+\\x{20000}-\\x{20001}"), runs)
+    assert got == [enumerated(r, terms) for r in runs]
+
+
+def test_islands_are_cut_by_one_kept_pattern(spark):
+    """A pattern of `split` is compiled for each value, so only blanks are split at, and letters in islands that are not known."""
+    lattice = Lattice.of({"ab": 5, "ba": 9, "abc": 2})
+    assert lattice._written("xabcx") == "x +abc x" and set(lattice._islands()) >= {"ab", "aba", "abab", "babc"}
+    plan = plan_of(spark.range(1).select(lattice.pieces(F.concat(F.lit("ab"), F.col("id").cast("string"))).alias("p")))
+    assert plan.index("regexp_replace(") > 0
