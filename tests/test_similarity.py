@@ -38,7 +38,7 @@ def test_threshold_range(spark):
 
 
 def test_a_right_table_too_large_to_broadcast(spark, monkeypatch):
-    rows = [(i, " ".join(f"word{(i * k) % 11}" for k in range(6))) for i in range(40)]
+    rows = [(i, " ".join(f"word{chr(97 + (i * k) % 11)}" for k in range(6))) for i in range(40)]
     left = spark.createDataFrame(rows, "doc_id long, text string")
     right = spark.createDataFrame(rows[::2], "item_id long, text string")
     want = sorted(map(tuple, similar_pairs(left, right, 0.5).collect()))
@@ -55,3 +55,13 @@ def test_prefixes_without_a_shuffle_and_without_tokens_of_one_side(spark):
     # c and d are on one side only, so they come first, and no partner can hold them
     assert sorted((r.id, r.token) for r in similarity._prefixes(one, order, 0.1).collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
     assert len(rows.collect()) == 3 and {r.id for r in rows.collect()} == {1, 2}
+
+
+def test_repeated_rows_lose_no_pair(spark):
+    """A row that stands twice has its pairs twice, as in the SQL; its tokens are not taken for twice as many."""
+    words = [f"word{c}" for c in "abcdefghijkl"]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:6]))]
+    left = spark.createDataFrame(rows, "doc_id long, text string")
+    right = spark.createDataFrame([(7, " ".join([*words[6:], "other", "more"]))], "item_id long, text string")
+    got = sorted(map(tuple, similar_pairs(left, right, 0.3).collect()))
+    assert got == [(1, 7, pytest.approx(6 / 14)), (1, 7, pytest.approx(6 / 14))]
