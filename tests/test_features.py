@@ -195,3 +195,29 @@ def test_entries_and_variance_of_sparse_vectors(spark):
     assert [r.idx for r in top] == [1, 4, 0, 2, 3]
     assert [r.variance for r in top] == pytest.approx(list(x.var(axis=0)[[1, 4, 0, 2, 3]]))
     assert features.variance_topk(df.limit(0), 3).count() == 0
+
+
+def test_tfidf_walks_paths_of_tokens(spark):
+    texts = ["a1 b1 c1 d1 e1", "b1 c1 d1", "a1 b1 x a1 b1 c1", None, "", "C1 d1 zz b1 c1", "a1 b1 c1 d1 a1 b1 c1 d1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    terms = ("a1", "a1 b1 c1", "b1 c1", "c1", "b1 c1 d1 e1", "e1", "q1 a1")
+    vocabulary = features.Vocabulary(terms, (1,) * 7, (1, 2, 3, 4, 1, 2, 1), 9, 4)
+    out = features.tfidf_transform(df, vocabulary)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "CountVectorizer" not in plan
+    idf = [math.log(10 / (1 + d)) + 1 for d in vocabulary.df]
+    for row in out.orderBy("doc_id").collect():
+        words = [w for w in (texts[row.doc_id] or "").lower().split() if len(w) > 1]
+        grams = Counter(" ".join(words[i : i + n]) for n in range(1, 5) for i in range(len(words) - n + 1))
+        want = np.array([grams[t] * w for t, w in zip(terms, idf)])
+        assert row.tfidf.toArray() == pytest.approx(want / (np.linalg.norm(want) or 1.0))
+    few = features._weigher(terms, idf)
+    slices, features._token_slices.__defaults__ = features._token_slices.__defaults__, (3,)
+    try:
+        import pyarrow as pa
+
+        lists = pa.array([(t or "").lower().split() for t in texts], pa.list_(pa.string()))
+        got = few(lists).to_pylist()
+    finally:
+        features._token_slices.__defaults__ = slices
+    assert [len(r["indices"]) for r in got] == [r.tfidf.numNonzeros() for r in out.orderBy("doc_id").collect()]

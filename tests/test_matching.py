@@ -54,3 +54,12 @@ def test_long_entries_and_text(spark):
     packed = KeywordDictionary.of({"a": ["z" * n for n in (1, 5, 3000)], "b": ["q" * 2000 + "r"]})
     df = spark.createDataFrame([("z" * 50_000,), ("q" * 40_000 + "r",)], "low string")
     assert [r.n for r in df.select(keyword_counts(F.col("low"), packed).alias("n")).collect()] == [[3, 0], [0, 1]]
+
+
+def test_few_entries_without_a_pattern(spark):
+    packed = KeywordDictionary.of({"a": ["ab", "b", "ab"], "b": ["c d"]})
+    df = spark.createDataFrame([("xaby",), ("c d b",), (None,)], "low string")
+    out = df.select(keyword_counts(F.col("low"), packed, 3).alias("n"))
+    assert [r.n for r in out.collect()] == [[3, 0], [1, 1], [0, 0]]
+    assert "regexp" not in plan_of(out)
+    assert "regexp" in plan_of(df.select(keyword_counts(F.col("low"), packed, 2).alias("n")))
