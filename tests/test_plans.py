@@ -105,3 +105,24 @@ def test_scratch_tables_are_removed(spark, tmp_path):
         scratch.drop("a")
         assert not glob.glob(f"{spark_dir}/probe-*/a")
     assert not glob.glob(f"{spark_dir}/probe-*")
+
+
+def test_training_queries_grow_the_whole_teacher(spark, sf, monkeypatch):
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(df, rounds, depth, *_):
+        asked.append((rounds, depth))
+        raise Stop
+
+    import topicweir.operators.training as training
+
+    monkeypatch.setattr(training, "fit_boosted", fit)
+    for name in ("train_teacher", "distill", "train_job"):
+        try:
+            queries.QUERIES[name](spark, sf)
+        except Stop:
+            pass
+    assert asked == [(100, 6)] * 3
