@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from topicweir.llm import topk_search
 from topicweir.llm.topk_search import candidates_for, top_k
 
 
@@ -53,3 +54,29 @@ def test_pruning_keeps_all_that_reach_the_bound():
         scores = block @ query
         least = float(np.sort(scores)[-5])
         assert set(np.flatnonzero(scores >= least)) <= set(candidates_for(query, least, block, lengths).tolist())
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_tiles_meet_groups_of_queries(spark, monkeypatch, spread):
+    monkeypatch.setattr(topk_search, "GROUP", 12)
+    monkeypatch.setattr(topk_search, "LEAST_BLOCKS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=5) * np.exp(rng.normal() * spread)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = top_k(df, F.col("vec_id") % 4 == 0, block=16, query_block=6, seeds=20)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 4)
+    # A matrix never stands beside another in a row, so rows and batches do not grow by pairs of blocks.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert not any("mapInPandas" in line or "MapInPandas" in line for line in plan.split("\n"))
+
+
+def test_products_are_exact_in_the_narrowest_type():
+    rng = np.random.default_rng(9)
+    for top in (100, 10**5, 10**8):
+        one, many = rng.integers(-top, top, size=(7, 6)), rng.integers(-top, top, size=(9, 4))
+        assert (topk_search._cross(one, many).astype(np.int64) == one[:, :4] @ many.T).all()
+        stored = topk_search._stored(many)
+        assert (topk_search._loaded(stored, 9, 4) == many).all()
+    assert topk_search._cross(np.ones((1, 3), int), np.ones((2, 3), int)).dtype == np.float32
+    assert len(topk_search._stored(np.ones((2, 3), int))) == 12

@@ -6,7 +6,11 @@ block is visited only if the query's length times the block's greatest length re
 a block the same bound is a local cosine threshold. Where it is high, candidates must lie in a
 narrow range of the query's largest coordinates (coordinate pruning); where it is low, only
 candidates that are long enough are taken (length pruning). The products of what is left are
-computed in whole numbers.
+computed in whole numbers; queries that leave much of a block take it in one matrix product.
+
+A tile of some blocks meets a group of queries in one place: a block travels once per group of
+`GROUP` queries and a query once per tile, and a task holds one tile and one group. What the
+tile's blocks gave raises the bound for its next ones.
 """
 
 import numpy as np
@@ -21,6 +25,10 @@ QUERY_BLOCK = 512
 SEEDS = 2048
 COORDINATES = 3
 HIGH_COSINE = 0.3
+GROUP = 16_384  # queries that meet a tile at one time
+TILES = 256  # so many tiles at most, until they hold `MOST_BLOCKS`
+LEAST_BLOCKS, MOST_BLOCKS = 4, 64  # in a tile
+AT_ONCE = 512  # queries in one matrix product
 
 
 def quantised(embedding: Column) -> Column:
@@ -39,23 +47,17 @@ def _matrix(vectors) -> np.ndarray:
     return out
 
 
-def _products(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    width = min(one.shape[-1], many.shape[-1])
-    one, many = one[..., :width], many[:, :width]
-    top = int(np.abs(one).max(initial=0)) * int(np.abs(many).max(initial=0)) * width
-    if top < 2**53:
-        return (many.astype(np.float64) @ one.astype(np.float64)).astype(np.int64)
-    return many @ one
-
+def _cross(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """All products of the rows of two matrices of whole numbers, in the narrowest type that is exact for them.
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+    No partial sum exceeds the product of the lengths.
+    """
+    width = min(one.shape[1], many.shape[1])
+    one, many = one[:, :width], many[:, :width]
+    length = [float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0))) for x in (one, many)]
+    top = length[0] * length[1] * (1 + 1e-6)
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+    return one.astype(kind) @ many.astype(kind).T
 
 
 def candidates_for(query: np.ndarray, least: float, block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -82,6 +84,16 @@ def candidates_for(query: np.ndarray, least: float, block: np.ndarray, lengths:
     return np.flatnonzero(keep)
 
 
+def _stored(matrix: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all."""
+    top = int(np.abs(matrix).max(initial=0))
+    return matrix.astype("<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8").tobytes()
+
+
+def _loaded(stored: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(stored, f"<i{max(1, len(stored) // (rows * width))}").reshape(rows, width).astype(np.int64)
+
+
 def _pack(frame):
     import pandas as pd
 
@@ -92,7 +104,8 @@ def _pack(frame):
             "block": [int(frame["block"].iloc[0])],
             "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()],
             "lengths": [frame["length"].to_numpy(np.float64).tobytes()],
-            "matrix": [matrix.tobytes()],
+            "matrix": [_stored(matrix)],
+            "width": [matrix.shape[1]],
             "longest": [float(frame["length"].max())],
         }
     )
@@ -103,45 +116,107 @@ def _pack_queries(k: int, seed_ids: bytes, seed_vectors: list):
         import pandas as pd
 
         seeds, ids = _matrix(seed_vectors), np.frombuffer(seed_ids, dtype=np.int64)
-        least = []
-        for query_id, v in zip(frame["query_id"], frame["v"]):
-            others = _products(_matrix([v])[0], seeds)[ids != query_id] if len(ids) else np.zeros(0)
-            least.append(float(np.sort(others)[-k]) if len(others) >= k else -np.inf)
-        matrix = _matrix(frame["v"].tolist())
+        matrix, own = _matrix(frame["v"].tolist()), frame["query_id"].to_numpy(np.int64)
+        least = np.full(len(frame), -np.inf)
+        if len(ids) >= k:
+            scores = _cross(matrix, seeds).astype(np.float64)
+            scores[own[:, None] == ids] = -np.inf
+            least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
         return pd.DataFrame(
             {
+                "part": [int(frame["part"].iloc[0])],
                 "queries": [frame["query"].to_numpy(np.int64).tobytes()],
-                "query_ids": [frame["query_id"].to_numpy(np.int64).tobytes()],
-                "q_matrix": [matrix.tobytes()],
-                "least": [np.array(least).tobytes()],
+                "query_ids": [own.tobytes()],
+                "q_matrix": [_stored(matrix)],
+                "q_width": [matrix.shape[1]],
+                "least": [least.tobytes()],
                 "q_longest": [float(frame["length"].max())],
-                "q_least": [float(min(least))],
+                "q_least": [float(least.min())],
             }
         )
 
     return run
 
 
+class Found:
+    """The k best of some queries so far, as rows (query, score, id), and the score that the next must reach."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.least, self.k = least.copy(), k
+        self.query, self.score, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, query, score, ids) -> None:
+        query, score, ids = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.ids, ids)))
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[query[last]] = np.maximum(self.least[query[last]], score[last])
+        kept = place < self.k
+        self.query, self.score, self.ids = query[kept], score[kept], ids[kept]
+
+
+def _look_through(found: Found, matrix, lengths_of, own, block, lengths, ids) -> None:
+    """Take what a block (sorted by falling length) has for each query."""
+    order = np.argsort(ids, kind="stable")
+    ends = [np.searchsorted(ids[order], own, side) for side in ("left", "right")]
+    asked = np.flatnonzero((found.least <= 0) | (lengths_of * lengths[0] * (1 + 1e-9) >= found.least))
+    whole = []
+    for q in asked:
+        least = found.least[q]
+        if least <= 0 or least / max(lengths_of[q] * lengths[0], 1e-300) < HIGH_COSINE:
+            whole.append(q)
+            continue
+        at = candidates_for(matrix[q], float(least), block, lengths)
+        if len(at) * 4 > len(block):
+            whole.append(q)
+            continue
+        at = at[ids[at] != own[q]]
+        scores = _cross(matrix[q : q + 1], block[at])[0].astype(np.int64)
+        good = scores >= least
+        if good.any():
+            found.add(np.full(good.sum(), q), scores[good], ids[at][good])
+    for begin in range(0, len(whole), AT_ONCE):
+        some = np.array(whole[begin : begin + AT_ONCE])
+        least = found.least[some]
+        # The shortest query bound decides how many are long enough for any of them.
+        reach = np.where(least > 0, least / np.maximum(lengths_of[some], 1e-300), -np.inf).min()
+        enough = int(np.searchsorted(-lengths, -reach * (1 - 1e-12), side="right")) if reach > 0 else len(block)
+        scores = _cross(matrix[some], block[:enough])
+        out = np.zeros(scores.shape, bool)
+        for i in np.flatnonzero(ends[1][some] > ends[0][some]):
+            mine = order[ends[0][some[i]] : ends[1][some[i]]]
+            out[i, mine[mine < enough]] = True
+        good = (scores >= least[:, None]) & ~out
+        many = np.flatnonzero(good.sum(axis=1) > 8 * found.k)
+        for i in many:
+            of = np.sort(scores[i][good[i]])
+            good[i] &= scores[i] >= of[-found.k]
+        row, at = np.nonzero(good)
+        found.add(some[row], scores[row, at].astype(np.int64), ids[at])
+
+
 def _search(k: int):
-    def run(frames):
-        import pandas as pd
+    """A tile's blocks and a group's parts of queries -> the k best of each query in the tile."""
+
+    def run(blocks, asked):
+        import pyarrow as pa
 
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                ids = np.frombuffer(r.ids, dtype=np.int64)
-                lengths = np.frombuffer(r.lengths)
-                block = np.frombuffer(r.matrix, dtype=np.int64).reshape(len(ids), -1)
-                queries, query_ids = np.frombuffer(r.queries, dtype=np.int64), np.frombuffer(r.query_ids, dtype=np.int64)
-                matrix = np.frombuffer(r.q_matrix, dtype=np.int64).reshape(len(queries), -1)
-                for query, query_id, v, least in zip(queries, query_ids, matrix, np.frombuffer(r.least)):
-                    at = candidates_for(v, least, block, lengths)
-                    at = at[ids[at] != query_id]
-                    scores = _products(v, block[at])
-                    top = best(scores, ids[at], k)
-                    out.append((np.full(len(top), query), np.full(len(top), query_id), ids[at][top], scores[top]))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-            yield pd.DataFrame(dict(zip(["query", "query_id", "vec_id", "score"], columns)))
+        out = [(np.zeros(0, np.int64),) * 4]
+        blocks = [
+            (_loaded(r["matrix"], len(r["ids"]) // 8, r["width"]), np.frombuffer(r["lengths"]), np.frombuffer(r["ids"], np.int64))
+            for r in sorted(blocks.to_pylist(), key=lambda r: -r["longest"])
+        ]
+        for r in asked.to_pylist():
+            queries, own = np.frombuffer(r["queries"], np.int64), np.frombuffer(r["query_ids"], np.int64)
+            matrix = _loaded(r["q_matrix"], len(queries), r["q_width"])
+            lengths_of = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
+            found = Found(np.frombuffer(r["least"]), k)
+            for block, lengths, ids in blocks:
+                _look_through(found, matrix, lengths_of, own, block, lengths, ids)
+            out.append((queries[found.query], own[found.query], found.ids, found.score))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
@@ -198,23 +273,31 @@ def top_k(
         packed = (
             cands.withColumn("block", start[F.col("bucket")] + F.pmod(F.xxhash64("vec_id"), parts[F.col("bucket")]).cast("int"))
             .groupBy("block")
-            .applyInPandas(_pack, "block int, ids binary, lengths binary, matrix binary, longest double")
+            .applyInPandas(_pack, "block int, ids binary, lengths binary, matrix binary, width int, longest double")
         )
-        packed = scratch.table(packed, "packed")
+        size = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-base // TILES)))
+        packed = scratch.table(packed.withColumn("tile", F.floor(F.col("block") / size).cast("int")), "packed")
         seen = cands.filter(F.col("bucket") >= _bucket_of(sizes, seeds)).select("vec_id", "v").limit(seeds).collect()
         seed_ids = np.array([r.vec_id for r in seen], dtype=np.int64).tobytes()
         asked = (
-            queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(-(-n_queries // query_block))).alias("part"))
+            queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(-(-n_queries // query_block))).cast("int"))
+            .groupBy("part")
             .applyInPandas(
                 _pack_queries(k, seed_ids, [r.v for r in seen]),
-                "queries binary, query_ids binary, q_matrix binary, least binary, q_longest double, q_least double",
+                "part int, queries binary, query_ids binary, q_matrix binary, q_width int, least binary, q_longest double, q_least double",
             )
         )
-        asked = scratch.table(asked, "asked")
-        # Which blocks a block of queries visits; the bound is checked again for each query inside.
-        visits = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(base - 1)))).join(packed, "block")
-        visits = visits.filter((F.col("q_least") <= 0) | (F.col("q_longest") * F.col("longest") * (1 + 1e-9) >= F.col("q_least")))
-        found = visits.drop("block", "longest", "q_longest", "q_least").mapInPandas(_search(k), schema)
+        per_group = max(1, GROUP // query_block)
+        asked = scratch.table(asked.withColumn("group", F.floor(F.col("part") / per_group).cast("int")), "asked")
+        groups = -(-(-(-n_queries // query_block)) // per_group)
+        # Which tiles a part of the queries visits; the bound is checked again for each query and block.
+        tiles = packed.groupBy(F.col("tile").alias("t_tile")).agg(F.max("longest").alias("t_longest"))
+        reached = (F.col("q_least") <= 0) | (F.col("q_longest") * F.col("t_longest") * (1 + 1e-9) >= F.col("q_least"))
+        bounds = asked.select("part", "q_longest", "q_least").crossJoin(F.broadcast(tiles)).filter(reached)
+        visits = asked.join(bounds.select("part", F.col("t_tile").alias("tile")), "part")
+        copies = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        keys = ["tile", "group"]
+        found = copies.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_search(k), schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
